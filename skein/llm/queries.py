@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, language_id, licenses, mixing, ngram_jaccard, quality_rules, warc
+from . import backoff_lm, decontamination, html_text, language_id, licenses, mixing, ngram_jaccard, quality_rules, sentence_spans, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_stupid_backoff(spark, sf_dir):
+    return backoff_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op2_html_extraction(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -23,6 +27,10 @@ def op4_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark, sf_dir):
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_source_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -31,6 +39,10 @@ def op7_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_sentence_spans(spark, sf_dir):
+    return sentence_spans.dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard(spark, sf_dir):
     return ngram_jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -39,5 +51,5 @@ def op10_warc(spark, sf_dir):
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_html_extraction, op3_language_id, op4_license_scan, op6_source_mixing, op7_quality_rules, op9_ngram_jaccard, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_stupid_backoff, op2_html_extraction, op3_language_id, op4_license_scan, op5_decontamination, op6_source_mixing, op7_quality_rules, op8_sentence_spans, op9_ngram_jaccard, op10_warc)}
 ORACLES: dict[str, str] = {}
