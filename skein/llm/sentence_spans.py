@@ -31,7 +31,7 @@ from .tokens import SPACED, Words, _P, _PINV, mix, pack, pack_sorted, pieces, un
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _U = np.uint64
-LEAST = 40
+LEAST = 30
 #: Places that a task holds before it deals them out.
 HOLD = 1 << 20
 _NULL = np.int64(2**63 - 1)
