@@ -1,4 +1,417 @@
-"""All registered queries and their SQL counterparts."""
+"""Registered queries over the test tables; skein.plans.oracles has their SQL counterparts.
 
+Passages are the distinct English documents, questions the benchmark items, and entities a
+gazetteer of mid-frequency tokens, so that every operator runs offline."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from skein.functions import text as T
+from skein.functions.ids import content_hash, node_id
+from skein.operators import answer as A
+from skein.operators import corpus as C
+from skein.operators import encode as E
+from skein.operators import extract as X
+from skein.operators import graph as G
+from skein.operators import hypergraph as H
+from skein.operators import incremental as I
+from skein.operators import retrieve as R
+from skein.sources.store import cut
+
+from .oracles import ORACLES  # noqa: F401
+
+CFG = R.Config()
 QUERIES: dict = {}
-ORACLES: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+class Tables:
+    """Frames that several queries share; those used more than once are written once."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir, self.made = spark, sf_dir, {}
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
+    def _once(self, name, make):
+        if name not in self.made:
+            self.made[name] = cut(make())
+        return self.made[name]
+
+    passages = property(lambda s: s._once("passages", lambda: C.passages(s.read("documents"))))
+    lexicon = property(lambda s: s._once("lexicon", lambda: C.lexicon(s.passages)))
+    passage_entities = property(lambda s: s._once("pe", lambda: C.passage_entities(s.passages, s.lexicon)))
+    sentences = property(lambda s: s._once("ps", lambda: C.passage_sentences(s.passages)))
+    sentence_entities = property(lambda s: s._once("se", lambda: C.sentence_entities(s.sentences, s.lexicon)))
+    entity_edges = property(lambda s: s._once("ee", lambda: C.entity_edges(s.passages, s.passage_entities)))
+    hyperedges = property(lambda s: s._once("he", lambda: H.build(s.sentence_entities)))
+    questions = property(lambda s: s._once("q", lambda: s.read("benchmark").select(F.col("item_id").alias("q"), "text")))
+    seeds = property(lambda s: s._once("seeds", lambda: R.seeds(s.questions, s.lexicon)))
+    seed_scores = property(lambda s: s._once("seed_scores", lambda: R.seed_scores(s.seeds)))
+    found = property(lambda s: s._once("found", lambda: R.hyperedge_retrieve(s.questions, s.hyperedges, CFG)))
+    nodes = property(lambda s: s._once("nodes", lambda: C.nodes(s.passages, s.lexicon)))
+    edges = property(lambda s: s._once("edges", lambda: C.edges(s.entity_edges)))
+
+    @property
+    def sims(self) -> DataFrame:
+        enc = E.hashed("word")
+        texts = self.sentence_entities.select(F.col("sentence").alias("item")).distinct()
+        q = self.questions.select("q", enc("text").alias("v"))
+        return self._once("sims", lambda: E.similarities(cut(q), texts.withColumn("v", enc("item")), floor=CFG.sentence_floor).select("q", F.col("item").alias("sentence"), F.col("score").alias("sim")))
+
+    @property
+    def scored(self) -> DataFrame:
+        active = self.seed_scores.select("q", "entity", "score", F.lit(1).alias("tier"))
+        return self._once("scored", lambda: R.passage_scores(cut(R.dense(self.questions, self.passages)), self.passages, active, CFG))
+
+
+def _vectors(t: Tables) -> tuple[DataFrame, DataFrame]:
+    v = t.read("embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").cast("array<double>").alias("v"))
+    return v.where("item % 20 = 0").select(F.col("item").alias("q"), "v"), v
+
+
+@query
+def dense_topk(spark, sf_dir):
+    q, v = _vectors(Tables(spark, sf_dir))
+    return E.top(E.similarities(q, v, k=10), ["q"], 10, rank="rank")
+
+
+@query
+def dense_minmax(spark, sf_dir):
+    q, v = _vectors(Tables(spark, sf_dir))
+    return E.similarities(q, v).withColumn("norm", F.round(E.minmax(F.col("score"), ["q"]), 6)).select("q", "item", "norm")
+
+
+@query
+def candidate_pool(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return E.top(R.dense(t.questions, t.passages, k=CFG.candidate_pool), ["q"], CFG.candidate_pool, tie="passage_id", rank="rank")
+
+
+@query
+def seed_entity_argmax(spark, sf_dir):
+    return Tables(spark, sf_dir).seeds
+
+
+@query
+def passage_dedup_ids(spark, sf_dir):
+    p = C.passages(Tables(spark, sf_dir).read("documents"), None)
+    return p.select("passage_id", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def sentence_split(spark, sf_dir):
+    return Tables(spark, sf_dir).sentences.select("passage_id", "sentence")
+
+
+@query
+def keyword_entities(spark, sf_dir):
+    d = Tables(spark, sf_dir).read("documents").where("lang = 'en'")
+    return d.select("doc_id", F.array_join(T.keyword_entities(F.col("text")), ",").alias("keywords"))
+
+
+@query
+def typed_entities(spark, sf_dir):
+    d = Tables(spark, sf_dir).read("documents").where("lang = 'en'")
+    return d.select("doc_id", F.explode(T.typed_entities(F.col("text"))).alias("x")).select("doc_id", F.col("x.text").alias("entity"), F.col("x.type").alias("type"))
+
+
+@query
+def dictionary_entities(spark, sf_dir):
+    q = Tables(spark, sf_dir).questions
+    return q.select("q", F.array_join(T.dictionary_entities(F.col("text")), ",").alias("entities"))
+
+
+@query
+def gazetteer_entities(spark, sf_dir):
+    return Tables(spark, sf_dir).passage_entities.select("passage_id", "entity")
+
+
+@query
+def question_entities(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    found = t.questions.select("q", "text", F.explode_outer(T.tokens(F.col("text"))).alias("entity")).join(t.lexicon.select("entity", F.lit(1).alias("k")), "entity", "left")
+    lists = found.groupBy("q", "text").agg(F.collect_set(F.when(F.col("k") == 1, F.col("entity"))).alias("found"))
+    return lists.select("q", F.array_join(X.question_entities(F.col("found"), F.col("text")), ",").alias("entities"))
+
+
+@query
+def bio_decode(spark, sf_dir):
+    p = Tables(spark, sf_dir).passages
+    w = F.split("text", " ")
+    t = p.select(F.col("passage_id").alias("doc"), F.posexplode(w).alias("pos", "token"))
+    before = F.coalesce(F.sum(F.length("token") + 1).over(Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    label = F.when(F.col("token").rlike("^[A-Z]"), "B-NAME").when(F.col("token").contains("th"), "I-NAME").otherwise("O")
+    t = t.select("doc", "pos", before.alias("start"), (before + F.length("token")).alias("stop"), label.alias("label"), (1.0 / (1 + F.length("token") % 4)).alias("prob"))
+    return X.bio_decode(t, p.select(F.col("passage_id").alias("doc"), "text"))
+
+
+@query
+def passage_entity_edges(spark, sf_dir):
+    return Tables(spark, sf_dir).entity_edges.select("passage_id", "entity", "cnt", F.round("weight", 6).alias("weight"))
+
+
+@query
+def adjacent_edges(spark, sf_dir):
+    return C.adjacent_edges(C.numbered(Tables(spark, sf_dir).read("documents"), "doc_id", "text"))
+
+
+@query
+def graph_node_types(spark, sf_dir):
+    return G.node_types(Tables(spark, sf_dir).nodes)
+
+
+@query
+def graph_degree_stats(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return G.degree_distribution(t.nodes, t.edges)
+
+
+@query
+def edge_weight_stats(spark, sf_dir):
+    return G.weight_stats(Tables(spark, sf_dir).edges, "weight")
+
+
+@query
+def score_stats(spark, sf_dir):
+    return G.weight_stats(Tables(spark, sf_dir).read("events"), "value")
+
+
+@query
+def connected_components(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return G.components(t.nodes, t.edges).groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes"))
+
+
+@query
+def hyperedges_build(spark, sf_dir):
+    return Tables(spark, sf_dir).hyperedges.select("he_id", "sentence", F.array_join("entities", "|").alias("entities"), "n_entities", "score")
+
+
+@query
+def hyperedge_types_inferred(spark, sf_dir):
+    h = H.enhance(Tables(spark, sf_dir).hyperedges, "inferred")
+    return h.select("he_id", F.array_join("types", ",").alias("types"), F.col("boost").cast("double").alias("boost"), "score")
+
+
+@query
+def hyperedge_boost_literal(spark, sf_dir):
+    return H.enhance(Tables(spark, sf_dir).hyperedges, "literal").select("he_id", F.col("boost").cast("double").alias("boost"), "score")
+
+
+@query
+def hypergraph_incidence(spark, sf_dir):
+    return H.incidence(Tables(spark, sf_dir).hyperedges)
+
+
+@query
+def hypergraph_stats(spark, sf_dir):
+    h = Tables(spark, sf_dir).hyperedges
+    return H.stats(h, H.incidence(h))
+
+
+@query
+def passage_hyperedges(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return H.passage_hyperedges(t.hyperedges, t.sentences)
+
+
+@query
+def hyperedge_retrieve(spark, sf_dir):
+    return Tables(spark, sf_dir).found.select("q", "he_id", "score", "rank")
+
+
+@query
+def hyperedge_seed_expansion(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    e = R.seed_expansion(t.found, t.seed_scores, t.hyperedges)
+    return e.groupBy("q").agg(F.count(F.lit(1)).alias("n_hyperedges"), F.max("rank").alias("last_rank"), F.round(F.min("score"), 6).alias("least_score"))
+
+
+def _ranked(t: Tables) -> DataFrame:
+    return cut(E.top(R.dense(t.questions, t.passages, k=10), ["q"], 10, tie="passage_id", rank="rank"))
+
+
+@query
+def entity_boost_rerank(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return R.boost(_ranked(t), t.passages, t.found, CFG)
+
+
+@query
+def hyperedge_context(spark, sf_dir):
+    return R.context(Tables(spark, sf_dir).found, CFG)
+
+
+@query
+def activation_one_hop(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    one = t.seed_scores.where("pos = 1")
+    active, weights = R.activate(one, t.sentence_entities, t.sims, CFG)
+    out = active.join(weights, ["q", "entity"], "full")
+    return out.select("q", "entity", F.round("score", 6).alias("score"), "tier", F.round("weight", 6).alias("weight"))
+
+
+@query
+def activation_all_seeds(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    active, weights = R.activate(t.seed_scores, t.sentence_entities, t.sims, CFG)
+    return active.join(weights, ["q", "entity"], "full").select("q", "entity", F.round("score", 6).alias("score"), "tier", F.round("weight", 6).alias("weight"))
+
+
+@query
+def passage_scores(spark, sf_dir):
+    return Tables(spark, sf_dir).scored
+
+
+@query
+def ppr_passages(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    w = t.seed_scores.select("q", "entity", F.col("score").alias("weight"))
+    return E.top(R.graph_search(None, w, t.scored, t.nodes, t.edges, CFG), ["q"], 10, tie="passage_id", rank="rank")
+
+
+@query
+def ppr_unified(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    edges = cut(H.merge_with_graph(t.edges, t.hyperedges, H.incidence(t.hyperedges), H.passage_hyperedges(t.hyperedges, t.sentences), by_text=True))
+    reset = t.seed_scores.select("q", node_id("entity", F.col("entity")).alias("id"), F.col("score").alias("w"))
+    reset = reset.unionByName(t.found.select("q", F.concat(F.lit("hyperedge-"), "he_id").alias("id"), (F.col("score") * CFG.hyperedge_node_weight).alias("w")))
+    pr = G.pagerank(H.merge_nodes(t.nodes, t.hyperedges), edges, reset, CFG.damping, 5)
+    pr = pr.where(F.col("id").startswith("passage-")).select("q", F.col("id").alias("passage_id"), F.round("score", 6).alias("score"))
+    return E.top(pr, ["q"], 10, tie="passage_id", rank="rank")
+
+
+@query
+def hybrid_retrieval(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    out = R.hybrid(t.questions, t.passages, t.lexicon.select("entity"), t.sentence_entities, t.nodes, t.edges, t.hyperedges, CFG)
+    return out.select("q", F.size("sorted_passage").alias("n_passages"), "has_entities", "has_hyperedge_context", "sorted_passage", "sorted_passage_scores")
+
+
+@query
+def clinical_rerank(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return R.clinical_rerank(t.questions, _ranked(t), t.passages)
+
+
+@query
+def query_expansion(spark, sf_dir):
+    d = Tables(spark, sf_dir).read("documents").where("lang = 'en'")
+    return d.select("doc_id", T.expand_query(F.col("text")).alias("expanded"))
+
+
+def _assistant(t: Tables) -> DataFrame:
+    return t.read("conversations").where("role = 'assistant' and text is not null")
+
+
+@query
+def answer_parse_mcq(spark, sf_dir):
+    return _assistant(Tables(spark, sf_dir)).select("conv_id", "turn", T.parse_choice(F.col("text")).alias("pred"))
+
+
+@query
+def answer_parse_yesno(spark, sf_dir):
+    c = F.col("text")
+    return _assistant(Tables(spark, sf_dir)).select("conv_id", "turn", T.parse_words(c, "yes", "no").alias("yesno"), T.parse_words(c, "yes", "no", "maybe").alias("yesnomaybe"))
+
+
+@query
+def normalize_answer(spark, sf_dir):
+    d = Tables(spark, sf_dir).read("documents").where("lang = 'en'")
+    return d.select("doc_id", T.normalize_answer(F.col("text")).alias("normalized"))
+
+
+def _results(t: Tables) -> DataFrame:
+    k = F.col("conv_id") % 3
+    sets = F.get(F.array(*map(F.lit, ("medqa", "pubmedqa", "bioasq"))), k.cast("int"))
+    gold = F.get(F.array(*map(F.lit, ("A", "yes", "no"))), k.cast("int"))
+    a = _assistant(t).select((F.col("conv_id") * 1000 + F.col("turn")).alias("idx"), F.col("text").alias("question"), sets.alias("dataset"), gold.alias("answer"), F.array("text").alias("sorted_passage"), (F.col("turn") % 4 == 1).alias("has_entities"))
+    return a.withColumn("pred_answer", T.parse_answer(F.col("question"), F.col("dataset")))
+
+
+@query
+def contain_accuracy(spark, sf_dir):
+    return A.judged(_results(Tables(spark, sf_dir))).select("idx", "correct", "invalid", "contain_correct", "no_entity")
+
+
+@query
+def summary_by_dataset(spark, sf_dir):
+    return A.summarize(_results(Tables(spark, sf_dir)))
+
+
+@query
+def invalid_samples(spark, sf_dir):
+    return A.invalid_samples(_results(Tables(spark, sf_dir)))
+
+
+@query
+def answer_distribution(spark, sf_dir):
+    return A.distribution(_results(Tables(spark, sf_dir)), "pred_answer")
+
+
+@query
+def question_answering(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    r = A.answer(_results(t).drop("pred_answer"))
+    return r.groupBy("dataset", "pred_answer").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def running_accuracy(spark, sf_dir):
+    j = A.judged(_results(Tables(spark, sf_dir)))
+    return A.running_mean(j, "correct", "idx", "dataset").select("idx", "dataset", "running")
+
+
+@query
+def gold_found(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return A.gold_found(t.read("benchmark"), t.read("documents"))
+
+
+@query
+def dataset_counts(spark, sf_dir):
+    return Tables(spark, sf_dir).read("documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.when(F.coalesce(F.trim("text"), F.lit("")) != "", 1).otherwise(0)).cast("long").alias("with_text"), F.round(F.avg(F.length("text")), 6).alias("avg_chars"))
+
+
+@query
+def label_accuracy(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    j = t.read("labels").join(t.read("documents").select("doc_id", "source"), "doc_id")
+    return j.groupBy("source").agg(F.count(F.lit(1)).alias("total"), F.sum("quality").cast("long").alias("good"), F.round(100 * T.ratio(F.sum("quality"), F.count(F.lit(1))), 6).alias("pct"))
+
+
+@query
+def json_props(spark, sf_dir):
+    e = Tables(spark, sf_dir).read("events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    return e.groupBy("event_type").agg(F.count("k").alias("n"), F.sum("k").alias("total_k"))
+
+
+@query
+def incremental_new_docs(spark, sf_dir):
+    d = Tables(spark, sf_dir).read("documents")
+    manifest = d.where("source <= 'src1'").where("text is not null").select(content_hash(F.col("text")).alias("doc_hash")).distinct()
+    return I.new_documents(d.select("doc_id", "text"), manifest).select("doc_id", "doc_hash")
+
+
+@query
+def ner_merge_upsert(spark, sf_dir):
+    d = Tables(spark, sf_dir).read("documents").where("text is not null")
+    count = F.size(T.tokens(F.col("text"))).cast("long")
+    old = d.where("source <= 'src1'").groupBy(content_hash(F.col("text")).alias("key")).agg(F.max(count).alias("n_entities"), F.lit("old").alias("origin"))
+    new = d.where("source > 'src1'").groupBy(content_hash(F.col("text")).alias("key")).agg(F.max(count).alias("n_entities"), F.lit("new").alias("origin"))
+    return X.merge(old, new, "key")
+
+
+@query
+def cache_hit_rate(spark, sf_dir):
+    e = Tables(spark, sf_dir).read("events")
+    seen = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id")).isNotNull()
+    return I.hit_rate(e.select(seen.alias("hit")))
