@@ -12,8 +12,9 @@ corpus, rarest first, so frequent passages don't bring documents together.
 * The boundary is the one at which the estimated cost of subsets plus list scans is least.
 
 Lists are packed in numpy arrays, dealt by hash.  First each list links its members to one
-pivot only, so a list of m members makes m - 1 candidates; the best candidate of each node is
-verified on whole sets and linked nodes are merged.  Then all pairs of a list that are still
+pivot (and the next in size) only, so a list of m members makes fewer than 2 m candidates; the best
+candidate of each node that has enough lists in common with it is verified on whole sets, and
+linked nodes are merged.  Then all pairs of a list that are still
 in different components are counted over all lists, kept if their prefix overlap allows the
 threshold, and verified.  So every link between different components is found, and a group
 of copies never makes all its pairs.
@@ -42,7 +43,7 @@ from .tokens import Words, grams, mix, pack, pack_sorted, pieces, unpack, unpack
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _U = np.uint64
-SKETCH = 1 << 21
+SKETCH = 1 << 23
 #: Prefix entries of one packed bucket.
 PER_BUCKET = 400_000
 
@@ -83,7 +84,7 @@ PROFILE = "doc_id long, n long, a long, b long, key string, block int, data bina
 
 def _profile(n: int):
     def run(it):
-        seen = np.zeros(SKETCH, np.int64)
+        seen = np.zeros(SKETCH, np.int32)
         for batch in it:
             for part in pieces(batch, "text"):
                 rows, every = [], []
@@ -91,7 +92,7 @@ def _profile(n: int):
                     rows.append((len(s), *signature(s)))
                     every.append(s)
                 if every:
-                    seen += np.bincount(_cell(np.concatenate(every)), minlength=SKETCH)
+                    np.add.at(seen, _cell(np.concatenate(every)), 1)
                 k = len(rows)
                 cols = [part.column("doc_id").cast(pa.int64())] + [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.nulls(k, pa.string()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=NAMES)
@@ -269,7 +270,7 @@ def _candidates(limit: int, buckets: int, num: int, den: int, pivots: bool, most
     return run
 
 
-def _counted(limit: int, num: int, den: int, every: bool):
+def _counted(limit: int, num: int, den: int):
     """Pairs whose number of common prefix n-grams allows the threshold."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -283,12 +284,10 @@ def _counted(limit: int, num: int, den: int, every: bool):
         new = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])]))
         c = np.add.reduceat(c, new)
         u, v, nu, nv = u[new], v[new], nu[new], nv[new]
-        if not every:
-            least = -(-num * (nu + nv) // (num + den))
-            rest = np.maximum(need(nu, num, den), need(nv, num, den)) - 1
-            ok = (c + rest >= least) | (np.maximum(nu, nv) <= limit)
-            u, v, c = u[ok], v[ok], c[ok]
-        return pa.table({"u": u, "v": v, "c": c})
+        least = -(-num * (nu + nv) // (num + den))
+        rest = np.maximum(need(nu, num, den), need(nv, num, den)) - 1
+        ok = (c + rest >= least) | (np.maximum(nu, nv) <= limit)
+        return pa.table({"u": u[ok], "v": v[ok], "c": c[ok]})
 
     return run
 
@@ -304,8 +303,11 @@ def _members(n: int, wanted, cells: int):
                 slot = (mix(np.array(ids.fill_null(0)).astype(np.int64).view(np.uint64)) % _U(cells)).astype(np.int64)
                 some = part.filter(pa.array(flags[slot]))
                 if some.num_rows:
-                    rows = [(i, signature(s)[0], len(s), pack_sorted(s)) for i, s in zip(some.column("doc_id").to_pylist(), sets(some.column("text"), n))]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "a", "n", "grams"])
+                    rows = []
+                    for i, s in zip(some.column("doc_id").to_pylist(), sets(some.column("text"), n)):
+                        short = np.unique(s >> _U(16))  # 48 bits tell the n-grams of two documents apart
+                        rows.append((i, signature(s)[0], len(s), len(short), pack_sorted(short)))
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((*[pa.int64()] * 4, pa.binary()))], names=["doc_id", "a", "n", "m", "grams"])
 
     return run
 
@@ -313,11 +315,9 @@ def _members(n: int, wanted, cells: int):
 def _verify(num: int, den: int):
     def run(it):
         for batch in it:
-            ok, last, s = [], None, None
-            for na, a, nb, b in zip(*(batch.column(c).to_pylist() for c in ("n_u", "grams_u", "n_v", "grams_v"))):
-                if a is not last:
-                    last, s = a, unpack_sorted(a, na)
-                both = len(np.intersect1d(s, unpack_sorted(b, nb), assume_unique=True))
+            ok = []
+            for na, ma, a, nb, mb, b in zip(*(batch.column(c).to_pylist() for c in ("n_u", "m_u", "grams_u", "n_v", "m_v", "grams_v"))):
+                both = len(np.intersect1d(unpack_sorted(a, ma), unpack_sorted(b, mb), assume_unique=True))
                 ok.append(den * both >= num * (na + nb - both))
             yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
@@ -357,20 +357,20 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFram
         """Links among candidate pairs, on whole sets of the nodes in them."""
         ids = pairs.select(F.explode(F.array("u", "v")).alias("a")).distinct()
         ids = cut(ids.join(nodes.select("a", "rep").where("rep is not null"), "a"))
-        slots = 1 << min(23, max(16, int(8 * ids.count()).bit_length()))
+        slots = 1 << min(23, max(16, int(32 * ids.count()).bit_length()))
         flags = counting.collect(ids.select("rep").mapInArrow(_mark_slots(slots), counting.SCHEMA), slots).get("wanted", np.zeros(slots, np.int64)) > 0
-        members = d.where("text is not null and doc_id is not null").mapInArrow(_members(n, spark.sparkContext.broadcast(flags), slots), "doc_id long, a long, n long, grams binary")
+        members = d.where("text is not null and doc_id is not null").mapInArrow(_members(n, spark.sparkContext.broadcast(flags), slots), "doc_id long, a long, n long, m long, grams binary")
         of = ids.select(F.col("a").alias("ia"), "rep")
-        members = members.join(of, (members["a"] == of["ia"]) & (members["doc_id"] == of["rep"])).dropDuplicates(["a"]).select("a", "n", "grams")
+        members = members.join(of, (members["a"] == of["ia"]) & (members["doc_id"] == of["rep"])).dropDuplicates(["a"]).select("a", "n", "m", "grams")
         members = cut(members)
         for x in ("u", "v"):
-            pairs = pairs.join(members.select(F.col("a").alias(x), F.col("n").alias(f"n_{x}"), F.col("grams").alias(f"grams_{x}")), x)
-        return cut(pairs.select("u", "v", "n_u", "grams_u", "n_v", "grams_v").mapInArrow(_verify(num, den), "u long, v long"))
+            pairs = pairs.join(members.select(F.col("a").alias(x), F.col("n").alias(f"n_{x}"), F.col("m").alias(f"m_{x}"), F.col("grams").alias(f"grams_{x}")), x)
+        return cut(pairs.select("u", "v", "n_u", "m_u", "grams_u", "n_v", "m_v", "grams_v").mapInArrow(_verify(num, den), "u long, v long"))
 
     def candidates(sets: DataFrame, pivots: bool) -> DataFrame:
         lists = sets.select("a", "n", "p", "prefix", "root").mapInArrow(_lists(limit, buckets, num, den), LISTS)
         packed = lists.groupBy("bucket").applyInArrow(_candidates(limit, buckets, num, den, pivots), PAIRS)
-        return cut(packed.groupBy("bucket").applyInArrow(_counted(limit, num, den, pivots), "u long, v long, c long"))
+        return cut(packed.groupBy("bucket").applyInArrow(_counted(limit, num, den), "u long, v long, c long"))
 
     first = candidates(found.withColumn("root", F.col("a")), True)
     # A root equal to the node itself says that it is in no component yet; the best pivot of each node is tried first.
