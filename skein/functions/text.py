@@ -174,7 +174,10 @@ def keyword_entities(c: Column) -> Column:
 
 def typed_entities(c: Column) -> Column:
     """Array of (text, type) by the typed patterns."""
-    found = [F.transform(F.regexp_extract_all(c, F.lit(p), 0), lambda t, k=k: F.struct(t.alias("text"), F.lit(k).alias("type"))) for k, p in TYPED.items()]
+    def typed(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(c, F.lit(pattern), 0), lambda t: F.struct(t.alias("text"), F.lit(kind).alias("type")))
+
+    found = [typed(k, p) for k, p in TYPED.items()]
     return F.array_sort(F.array_distinct(F.flatten(F.array(*found))))
 
 
