@@ -53,7 +53,7 @@ def test_quality_without_rows_or_labels(spark):
 
 
 def test_language(spark):
-    en = [(i, f"the quick fox number {i} and the thing with water", "en", "s") for i in range(60)]
+    en = [(10 + i, f"the quick fox number {i} and the thing with water", "en", "s") for i in range(60)]
     fr = [(100 + i, f"être où le garçon numéro {i} et la chose avec leau", "fr", "s") for i in range(60)]
     got = language_id.identify(table(spark, en + fr + ODD)).collect()
     assert len(got) == 120 + len(ODD)
