@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
+from .tokens import pack, unpack
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SCHEMA = "key string, block int, data binary"
@@ -24,7 +26,7 @@ def emit(totals: dict) -> pa.RecordBatch:
             if part.any():
                 keys.append(key)
                 blocks.append(b)
-                data.append(pa.compress(part.astype("<i8").tobytes(), codec="zstd", asbytes=True))
+                data.append(pack(part.astype(np.int64).view(np.uint64)))
     return pa.record_batch([pa.array(keys, pa.string()), pa.array(blocks, pa.int32()), pa.array(data, pa.binary())], schema=ARROW)
 
 
@@ -33,10 +35,10 @@ def _add(size: int):
         sums: dict = {}
         for batch in it:
             for key, block, data in zip(*(c.to_pylist() for c in batch.columns)):
-                part = np.frombuffer(pa.decompress(data, decompressed_size=8 * size, codec="zstd", asbytes=True), "<i8")
+                part = unpack(data, size).view(np.int64)
                 at = (key, block)
                 sums[at] = sums[at] + part if at in sums else part.copy()
-        rows = [(k, b, pa.compress(v.tobytes(), codec="zstd", asbytes=True)) for (k, b), v in sums.items()]
+        rows = [(k, b, pack(v.view(np.uint64))) for (k, b), v in sums.items()]
         yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.binary()))], schema=ARROW)
 
     return add
@@ -48,5 +50,5 @@ def collect(parts: DataFrame, size: int) -> dict:
     out: dict = {}
     for r in parts.repartition(BLOCKS, "block").mapInArrow(_add(n), SCHEMA).collect():
         v = out.setdefault(r["key"], np.zeros(size, np.int64))
-        v[r["block"] * n : (r["block"] + 1) * n] += np.frombuffer(pa.decompress(bytes(r["data"]), decompressed_size=8 * n, codec="zstd", asbytes=True), "<i8")
+        v[r["block"] * n : (r["block"] + 1) * n] += unpack(bytes(r["data"]), n).view(np.int64)
     return out

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import counting
 from .components import components
-from .shared import cut, only, tune
+from .shared import Scratch, cut, only, tune
 from .tokens import Words, grams, mix, pack, pack_sorted, pieces, unpack, unpack_sorted
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -338,17 +338,18 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFram
     """doc_id, n_shingles and component_id of every row; sets link at num/den Jaccard or more."""
     spark = docs.sparkSession
     tune(spark)
+    scratch = Scratch(spark)
     d = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    known = cut(d.mapInArrow(_profile(n), PROFILE))
-    rows = known.where("key is null").select("doc_id", "n", "a", "b")
+    known = scratch.cut(d.mapInArrow(_profile(n), PROFILE))
+    rows = cut(known.where("key is null").select("doc_id", "n", "a", "b"))
     sketch = counting.collect(known.where("key is not null").select("key", "block", "data"), SKETCH).get("sketch", np.zeros(SKETCH, np.int64))
     cells = spark.sparkContext.broadcast(np.minimum(sketch, 2**31 - 1).astype(np.int32))
-    nodes = cut(rows.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep")))
+    nodes = scratch.cut(rows.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep")))
 
     found = d.where("text is not null and doc_id is not null").mapInArrow(_prefixes(n, num, den, cells), "doc_id long, a long, n long, p long, prefix binary, scan double")
     reps = nodes.select(F.col("a").alias("na"), "rep")
     found = found.join(reps, (found["a"] == reps["na"]) & (found["doc_id"] == reps["rep"])).drop("na", "rep")
-    found = cut(found.dropDuplicates(["a"]))
+    found = scratch.cut(found.dropDuplicates(["a"]))
     sizes = found.groupBy("n").agg(F.count(F.lit(1)).alias("k"), F.sum("scan").alias("scan"), F.sum("p").alias("p")).collect()  # one row for each set size
     limit = boundary_of([(r["n"], r["k"], r["scan"]) for r in sizes], num, den)
     buckets = max(12, sum(r["p"] for r in sizes) // PER_BUCKET)
@@ -356,33 +357,34 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFram
     def verified(pairs: DataFrame) -> DataFrame:
         """Links among candidate pairs, on whole sets of the nodes in them."""
         ids = pairs.select(F.explode(F.array("u", "v")).alias("a")).distinct()
-        ids = cut(ids.join(nodes.select("a", "rep").where("rep is not null"), "a"))
+        ids = scratch.cut(ids.join(nodes.select("a", "rep").where("rep is not null"), "a"))
         slots = 1 << min(23, max(16, int(32 * ids.count()).bit_length()))
         flags = counting.collect(ids.select("rep").mapInArrow(_mark_slots(slots), counting.SCHEMA), slots).get("wanted", np.zeros(slots, np.int64)) > 0
         members = d.where("text is not null and doc_id is not null").mapInArrow(_members(n, spark.sparkContext.broadcast(flags), slots), "doc_id long, a long, n long, m long, grams binary")
         of = ids.select(F.col("a").alias("ia"), "rep")
         members = members.join(of, (members["a"] == of["ia"]) & (members["doc_id"] == of["rep"])).dropDuplicates(["a"]).select("a", "n", "m", "grams")
-        members = cut(members)
+        members = scratch.cut(members)
         for x in ("u", "v"):
             pairs = pairs.join(members.select(F.col("a").alias(x), F.col("n").alias(f"n_{x}"), F.col("m").alias(f"m_{x}"), F.col("grams").alias(f"grams_{x}")), x)
-        return cut(pairs.select("u", "v", "n_u", "m_u", "grams_u", "n_v", "m_v", "grams_v").mapInArrow(_verify(num, den), "u long, v long"))
+        return scratch.cut(pairs.select("u", "v", "n_u", "m_u", "grams_u", "n_v", "m_v", "grams_v").mapInArrow(_verify(num, den), "u long, v long"))
 
     def candidates(sets: DataFrame, pivots: bool) -> DataFrame:
         lists = sets.select("a", "n", "p", "prefix", "root").mapInArrow(_lists(limit, buckets, num, den), LISTS)
         packed = lists.groupBy("bucket").applyInArrow(_candidates(limit, buckets, num, den, pivots), PAIRS)
-        return cut(packed.groupBy("bucket").applyInArrow(_counted(limit, num, den), "u long, v long, c long"))
+        return scratch.cut(packed.groupBy("bucket").applyInArrow(_counted(limit, num, den), "u long, v long, c long"))
 
     first = candidates(found.withColumn("root", F.col("a")), True)
     # A root equal to the node itself says that it is in no component yet; the best pivot of each node is tried first.
     best = first.groupBy("v").agg(F.max_by("u", F.struct("c", "u")).alias("u")).select("u", "v")
     best = best.union(first.groupBy("u").agg(F.max_by("v", F.struct("c", "v")).alias("v")).select("u", "v")).distinct()
-    links = verified(cut(best))
-    roots = cut(components(links))
+    links = verified(scratch.cut(best))
+    roots = scratch.cut(components(links))
     second = candidates(found.join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a")), False)
     links = links.union(verified(second.select("u", "v")))
     roots = components(links)
     final = nodes.join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
     least = final.groupBy("root").agg(F.min("rep").alias("component_id"))
     final = cut(final.join(least, "root").select(F.col("a").alias("fa"), F.col("b").alias("fb"), "component_id"))
+    scratch.close()
     out = rows.join(final, (rows["a"] == final["fa"]) & (rows["b"] == final["fb"]), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
