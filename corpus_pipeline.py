@@ -25,8 +25,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near duplicates (five words, 0.8), the document with the smallest id; of rows that repeat id and text, one."""
     groups = ngram_jaccard.join(docs, n=5, num=80, den=100)
     stays = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(stays, docs["doc_id"].eqNullSafe(stays["_id"]), "left_semi")
-    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    keyed = docs.withColumn("_text", F.xxhash64("text"))
+    # Joined and made distinct by doc_id alone, so each text moves once; rows without an id go apart.
+    named = keyed.join(stays, keyed["doc_id"] == stays["_id"], "left_semi").dropDuplicates(["doc_id", "_text"])
+    nameless = keyed.where("doc_id is null").join(stays.where("_id is null"), F.lit(True), "left_semi").dropDuplicates(["_text"])
+    return named.unionByName(nameless).drop("_text")
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
