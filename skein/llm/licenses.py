@@ -70,15 +70,14 @@ def spans(docs: DataFrame, k: int = K, cover: float = COVER, near: int = NEAR) -
     hits = hits.join(F.broadcast(template_grams(docs.sparkSession, k)), "gram")
     key = ["doc_id", "text_key", "template", "label", "base", "n_grams"]
     diagonals = hits.groupBy(*key, (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.count_distinct("at").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
-    base = diagonals.where("base and votes = n_grams").select("doc_id", "text_key", "label", "base", "first", (F.col("last") + k - 1).alias("last"), F.lit(1.0).alias("score"))
     order = Window.partitionBy("doc_id", "text_key", "template").orderBy("diagonal")
-    long = diagonals.where("not base").withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(order) > near).cast("int"))
-    long = long.withColumn("span", F.coalesce(F.sum("new").over(order), F.lit(0)))
-    long = long.groupBy(*key, "span").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
+    # A phrase's diagonals are spans of their own; a template's are merged with their neighbours.
+    apart = F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(order) > near)
+    spans = diagonals.withColumn("new", apart.cast("int")).withColumn("span", F.coalesce(F.sum("new").over(order), F.lit(0)))
+    spans = spans.groupBy(*key, "span").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
     share = F.least(F.lit(1.0), F.col("votes") / F.col("n_grams"))
-    fits = (share >= cover) & (F.col("last") - F.col("first") < 2 * F.col("n_grams") + near)
-    long = long.withColumn("score", share).where(fits)
-    return base.unionByName(long.select("doc_id", "text_key", "label", "base", "first", (F.col("last") + k - 1).alias("last"), "score"))
+    fits = F.when(F.col("base"), F.col("votes") == F.col("n_grams")).otherwise((share >= cover) & (F.col("last") - F.col("first") < 2 * F.col("n_grams") + near))
+    return spans.where(fits).select("doc_id", "text_key", "label", "base", "first", (F.col("last") + k - 1).alias("last"), share.alias("score"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
