@@ -193,3 +193,26 @@ def test_decontamination(spark):
     assert len(want) >= 14
     assert decontamination.contaminated(table(spark, []), bench).count() == 0
     assert decontamination.contaminated(table(spark, docs), bench.limit(0)).count() == 0
+
+
+def test_decontamination_finds_heavily_edited_copies(spark):
+    """Every third to sixth word replaced, words put in between, halves: as brute force over all pairs."""
+    rnd = random.Random(6)
+    word = lambda: f"q{int(400 * rnd.random() ** 2)}"
+    items = [(k, " ".join(word() for _ in range(rnd.randrange(20, 60)))) for k in range(8)]
+    docs = []
+    for k, text in items:
+        own = text.split()
+        edited = [[word() if i % step == 1 else x for i, x in enumerate(own)] for step in (3, 4, 5, 6)]
+        edited += [[y for i, x in enumerate(own) for y in ((x, word()) if i % step == 0 else (x,))] for step in (1, 2, 3)]
+        edited += [own, own[: -(-len(own) // 2)], own[: len(own) // 2 - 1], own[::-1]]
+        for e in edited:
+            docs.append((len(docs), " ".join([*(word() for _ in range(70)), *e, *(word() for _ in range(70))])))
+    want = set()
+    for d, t in docs:
+        for k, x in items:
+            if alignment(x.split(), t.split()) / (2 * len(x.split())) >= 0.5:
+                want.add((d, k))
+    got = decontamination.contaminated(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    assert len(want) >= 8 * 6
