@@ -12,8 +12,8 @@ the words around are aligned with the item.
 Items are handled in blocks of at most `BLOCK_WORDS` words, each broadcast; more items make more
 blocks, not larger ones.  Texts are never moved.
 
-Null or empty texts and items never match; nor do items of fewer than `FEWEST` words.  Items of
-fewer than twice as many words need a score of `FEWEST` words at least.
+Null or empty texts and items never match; nor do items without words.  Items of
+fewer than twice `FEWEST` words need a score of `FEWEST` words, or of all their words.
 Repeated rows and items each give their own pairs.  A null id is carried as null.
 """
 
@@ -82,7 +82,7 @@ class Items:
         self.own = [np.unique(x, return_counts=True) for x in self.words]
         self.known = np.unique(h)
         size = np.array([len(x) for x in self.words], np.int64)
-        need = np.maximum(MATCH * least * size, MATCH * FEWEST)
+        need = np.maximum(MATCH * least * size, MATCH * np.minimum(size, FEWEST))
         #: Fewest matches of an alignment with such a score, and its most words of a document.
         self.matched = np.ceil(need / MATCH - 1e-9).astype(np.int64)
         self.span = np.floor((MATCH + 1) * size - need + 1e-9).astype(np.int64)
@@ -92,7 +92,7 @@ class Items:
         """Leave each item its rarest words as seeds, and the number of them that every copy has."""
         seeds, self.hits = [], np.zeros(len(self.words), np.int64)
         for k, (x, m, (own, times)) in enumerate(zip(self.words, self.matched, self.own)):
-            if m > len(x):
+            if not len(x) or m > len(x):
                 continue
             order = np.lexsort((own, [counts.get(int(g), 0) for g in own.view(np.int64)]))
             held = np.cumsum(times[order])

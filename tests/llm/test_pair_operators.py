@@ -216,3 +216,10 @@ def test_decontamination_finds_heavily_edited_copies(spark):
     got = decontamination.contaminated(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want
     assert len(want) >= 8 * 6
+
+
+def test_decontamination_finds_short_items(spark):
+    items = [(1, "Alpha"), (2, "beta gamma"), (3, "delta epsilon zeta"), (4, "eta theta iota kappa"), (5, "..."), (6, "")]
+    docs = [(1, "an alpha here"), (2, "x beta, gamma y"), (3, "delta epsilon zeta"), (4, "x eta theta iota kappa"), (5, "beta x gamma, delta epsilon, eta theta iota"), (6, "...")]
+    got = decontamination.contaminated(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.score) for r in got} == {(k, k, 1.0) for k in range(1, 5)}
