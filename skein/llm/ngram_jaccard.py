@@ -11,13 +11,18 @@ corpus, rarest first, so frequent passages don't bring documents together.
   the boundary stand too.
 * The boundary is the one at which the estimated cost of subsets plus list scans is least.
 
-Lists are packed in numpy arrays, dealt by hash.  First each list links its members to one
-pivot (and the next in size) only, so a list of m members makes fewer than 2 m candidates; the best
-candidate of each node that has enough lists in common with it is verified on whole sets, and
-linked nodes are merged.  Then all pairs of a list that are still
-in different components are counted over all lists, kept if their prefix overlap allows the
-threshold, and verified.  So every link between different components is found, and a group
-of copies never makes all its pairs.
+Lists are packed in numpy arrays, dealt by hash.  In the first pass short lists make all their
+pairs; in longer ones a set meets one or two others, and only in the few lists that it picks, so
+the pairs grow with the sets, however large a group of copies is.  Pairs that are met often enough for the threshold are verified on whole sets, best
+ones first, and linked nodes are merged after every step, so most pairs of a group of copies
+fall away untested.  In the second pass the lists that were too long to make all their pairs
+are read again: now all pairs of a list that are still in different components are counted,
+kept if position and prefix overlap allow the threshold, and verified.  So every link between
+different components is found.  Lists that may have over `HOT` members are split: at random in
+the first pass, into blocks of shard pairs in the second.
+
+The prefixes hold if two sets that link have two n-grams in common, which is so above a
+threshold of one half; `join` raises below it.
 
 Null or empty text: no n-grams, a component of its own.  A text shorter than n words has its
 whole word sequence as one n-gram.  Repeated ids: rows are joined by their sets, an id's
@@ -28,6 +33,7 @@ Sets are compared by 128-bit signatures, n-grams by 64-bit hashes.
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +52,14 @@ _U = np.uint64
 SKETCH = 1 << 23
 #: Prefix entries of one packed bucket.
 PER_BUCKET = 400_000
+#: Lists whose n-gram may stand in more sets than this are split over buckets.
+HOT = 1 << 20
+#: In the first pass lists of up to NEXT + 1 members make all their pairs; in longer ones, those of its lists that a set picks, it meets the next in size and the first.
+NEXT = 3
+#: Long lists that a set picks, by least hash, so that sets with most n-grams in common pick mostly the same.
+PICKS = 16
+#: Lists up to this length make their pairs together, longer ones row by row.
+SHORT = 32
 
 
 def sets(col: pa.Array, n: int):
@@ -149,7 +163,7 @@ def boundary_of(sizes: list, num: int, den: int) -> int:
     return at
 
 
-LISTS = "bucket int, n int, key binary, node binary, size binary, root binary"
+LISTS = "bucket int, n int, key binary, node binary, size binary, root binary, left binary"
 PAIRS = "bucket int, n int, u binary, v binary, c binary, nu binary, nv binary"
 _TYPES = {"int": pa.int32(), "binary": pa.binary(), "long": pa.int64()}
 
@@ -159,51 +173,85 @@ def _batch(rows: list, schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _TYPES[t]) for i, (_, t) in enumerate(spec)], names=[c for c, _ in spec])
 
 
-def _lists(limit: int, buckets: int, num: int, den: int):
-    """Entries of the inverted lists, packed by bucket: single n-grams, and 2-subsets of light sets."""
+def _split(key, own, shards, whole: bool):
+    """Row, and list key with the shard mixed in, of entries of hot lists.
+
+    An entry goes to its own random shard, or in the second pass to the block of every pair of shards with its own."""
+    at = np.arange(len(key))
+    copies = shards if whole else np.ones_like(shards)
+    row = np.repeat(at, copies)
+    s = shards[row].astype(np.int64)
+    mine = (mix(own[row]) % s.astype(np.uint64)).astype(np.int64)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies) if whole else mine
+    block = (np.minimum(mine, other) * s + np.maximum(mine, other)).astype(np.uint64)
+    return row, np.where(s > 1, mix(key[row] + (block + _U(1)) * _U(0x9E3779B97F4A7C15)) & ~_U(1) | key[row] & _U(1), key[row])
+
+
+def _lists(limit: int, buckets: int, num: int, den: int, cells, whole: bool, hot: int):
+    """Entries of the inverted lists, packed by bucket: single n-grams (odd keys) and 2-subsets of light sets (even keys).
+
+    `left` is twice the number of n-grams that a set has from the list's n-gram on, of a subset from its last one on and one more; plus one if the set picks the list."""
 
     def run(it):
+        seen = cells.value
         for batch in it:
-            key, node, size, root = [], [], [], []
+            key, node, size, root, left, often, picked = [], [], [], [], [], [], []
             for a, n, p, blob, r in zip(*(batch.column(c).to_pylist() for c in ("a", "n", "p", "prefix", "root"))):
                 s = unpack(blob, p)
-                k = []
+                k, rest, most = [], [], []
+                count = seen[_cell(s)]
                 if n > limit or n >= need(limit + 1, num, den):
-                    k.append(s[:-1])
+                    k.append(s[:-1] | _U(1))
+                    rest.append(n - np.arange(p - 1))
+                    most.append(count[:-1])
                 if n <= limit:
                     i, j = np.triu_indices(p, 1)
                     lo, hi = np.minimum(s[i], s[j]), np.maximum(s[i], s[j])
-                    k.append(mix(lo * _U(0x9E3779B97F4A7C15) + mix(hi)))
+                    k.append(mix(lo * _U(0x9E3779B97F4A7C15) + mix(hi)) & ~_U(1))
+                    rest.append(1 + n - j)
+                    most.append(np.minimum(count[i], count[j]))
                 k = np.concatenate(k)
+                pick = np.zeros(len(k), np.int64)
+                pick[np.argsort(mix(k))[:PICKS]] = 1
+                picked.append(pick)
                 key.append(k)
+                left.append(np.concatenate(rest))
+                often.append(np.concatenate(most))
                 node.append(np.full(len(k), a, np.int64))
                 size.append(np.full(len(k), n, np.int64))
                 root.append(np.full(len(k), r, np.int64))
             if not key:
                 continue
-            key, node, size, root = map(np.concatenate, (key, node, size, root))
+            key, node, size, root, left, often, picked = map(np.concatenate, (key, node, size, root, left, often, picked))
+            left = 2 * left + picked
+            if (often > hot).any():
+                row, key = _split(key, node.view(np.uint64), -(-np.maximum(often, 1) // hot), whole)
+                node, size, root, left = node[row], size[row], root[row], left[row]
             order = np.argsort(key, kind="stable")
-            key, node, size, root = key[order], node[order].view(np.uint64), size[order].view(np.uint64), root[order].view(np.uint64)
+            key, node, size, root, left = key[order], *(x[order].astype(np.int64).view(np.uint64) for x in (node, size, root, left))
             b = ((key >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
             cuts = np.flatnonzero(np.diff(b, prepend=-1, append=buckets))
             rows = []
             for x, y in zip(cuts[:-1], cuts[1:]):
-                rows.append((int(b[x]), int(y - x), pack_sorted(key[x:y]), pack(node[x:y]), pack(size[x:y]), pack(root[x:y] ^ node[x:y])))
+                rows.append((int(b[x]), int(y - x), pack_sorted(key[x:y]), pack(node[x:y]), pack(size[x:y]), pack(root[x:y] ^ node[x:y]), pack(left[x:y])))
             yield _batch(rows, LISTS)
 
     return run
 
 
-def _joined(table: pa.Table):
-    key, node, size, root = [], [], [], []
-    for n, k, a, s, r in zip(*(table.column(c).to_pylist() for c in ("n", "key", "node", "size", "root"))):
-        key.append(unpack_sorted(k, n))
-        node.append(unpack(a, n))
-        size.append(unpack(s, n).view(np.int64))
-        root.append(unpack(r, n) ^ node[-1])
-    key, node, size, root = map(np.concatenate, (key, node, size, root))
-    order = np.lexsort((node, key))
-    return key[order], node[order], size[order], root[order]
+def _joined(batches):
+    """All entries of a bucket by list, size and node: key, node, size, root, left and whether the list is picked."""
+    key, node, size, root, left = [], [], [], [], []
+    for batch in batches:
+        for n, k, a, s, r, x in zip(*(batch.column(c).to_pylist() for c in ("n", "key", "node", "size", "root", "left"))):
+            key.append(unpack_sorted(k, n))
+            node.append(unpack(a, n))
+            size.append(unpack(s, n).view(np.int64))
+            root.append(unpack(r, n) ^ node[-1])
+            left.append(unpack(x, n).view(np.int64))
+    key, node, size, root, left = map(np.concatenate, (key, node, size, root, left))
+    order = np.lexsort((node, size, key))
+    return key[order], node[order], size[order], root[order], left[order] >> 1, (left[order] & 1) == 1
 
 
 def _pair_rows(u, v, nu, nv, buckets: int) -> list:
@@ -220,58 +268,84 @@ def _pair_rows(u, v, nu, nv, buckets: int) -> list:
     return [(int(b[x]), int(y - x), *(pack(z[x:y].astype(np.uint64)) for z in (u, v, c, nu, nv))) for x, y in zip(cuts[:-1], cuts[1:])]
 
 
-def _candidates(limit: int, buckets: int, num: int, den: int, pivots: bool, most: int = 1 << 20):
-    """Candidate pairs of each bucket's lists: with one pivot a list, or all pairs of different roots."""
-
-    def run(table: pa.Table) -> pa.Table:
-        key, node, size, root = _joined(table)
+def _some(first, length, picked):
+    """Index pairs of the first pass."""
+    short = np.repeat(length <= NEXT + 1, length)
+    end = np.repeat(first + length, length)
+    at = np.flatnonzero(short)
+    for s in range(1, NEXT + 1):
+        at = at[at + s < end[at]]
+        yield at, at + s
+    at = np.flatnonzero(~short & picked)
+    head = np.repeat(first, length)[at]
+    same = head[1:] == head[:-1]
+    yield at[:-1][same], at[1:][same]
+    lead = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(at)), 0)) if len(at) else at
+    far = np.arange(len(at)) - lead > 1
+    yield at[lead[far]], at[far]
+
+
+def _all(first, length, size, root, num: int, den: int):
+    """Index pairs of the second pass: all of a list of several components, up to the size bound, but for pairs within its largest one."""
+    mixed = (length > 1) & (np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first))
+    short, long = mixed & (length <= SHORT), mixed & (length > SHORT)
+    at = np.arange(len(root))[np.repeat(short, length)]
+    end = np.repeat((first + length)[short], length[short])
+    for s in range(1, SHORT):
+        at, end = at[at + s < end], end[at + s < end]
+        yield at, at + s
+    for x, m in zip(first[long], length[long]):
+        names, which, counts = np.unique(root[x : x + m], return_inverse=True, return_counts=True)
+        own = which != counts.argmax()
+        sizes = size[x : x + m]
+        low, high = np.searchsorted(sizes, need(sizes, num, den), "left"), np.searchsorted(sizes, sizes * den // num, "right")
+        for i in np.flatnonzero(own):
+            j = np.arange(low[i], high[i])
+            j = j[~own[j] | (j > i)]
+            yield np.full(len(j), x + i), x + j
+
+
+def _candidates(limit: int, buckets: int, num: int, den: int, whole: bool, most: int = 1 << 20):
+    """Pairs that a bucket's lists put forward; in the first pass also (u, u) for each member of a list that couldn't make all its pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, node, size, root, left, picked = _joined(batches)
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         length = np.diff(np.append(first, len(key)))
-        batches, hold, held = [], [], 0
+        hold, held = [], 0
 
         def keep(i, j):
             a, b = size[i], size[j]
-            ok = (np.minimum(a, b) * den >= np.maximum(a, b) * num) & (node[i] != node[j]) & (root[i] != root[j])
+            # No n-gram of both stands before the first of these, so each side has at most so many in common from here on.
+            at_most = np.minimum(left[i], left[j])
+            single = (key[i] & _U(1)) == 1
+            at_most = np.where(single, at_most + np.minimum(a - left[i], b - left[j]), at_most)
+            ok = (at_most >= -(-num * (a + b) // (num + den))) & (root[i] != root[j]) & (~single | (np.maximum(a, b) > limit))
             return i[ok], j[ok]
 
         def flush():
-            nonlocal hold, held
-            if held:
-                i, j = np.concatenate([h[0] for h in hold]), np.concatenate([h[1] for h in hold])
-                batches.append(_batch(_pair_rows(node[i], node[j], size[i], size[j], buckets), PAIRS))
-            hold, held = [], 0
-
-        if pivots:
-            pivot = np.repeat(first, length)
-            # The size filter would leave members without a pivot of their size: each takes the nearest before it in size order.
-            order = np.lexsort((node, size, key))
-            i, j = keep(order[:-1], order[1:])
-            same = key[i] == key[j]
-            hold, held = [(i[same], j[same])], int(same.sum())
-            i, j = keep(pivot, np.arange(len(key)))
-            hold.append((i, j))
-            held += len(i)
-            flush()
-        else:
-            for x, m in zip(first[length > 1], length[length > 1]):
-                if (root[x : x + m] == root[x]).all():
-                    continue
-                for k in range(x, x + m - 1):  # one row of the pair matrix at a time
-                    i, j = keep(np.full(x + m - k - 1, k), np.arange(k + 1, x + m))
-                    if len(i):
-                        hold.append((i, j))
-                        held += len(i)
-                    if held > most:
-                        flush()
-            flush()
-        out = pa.Table.from_batches(batches, schema=_batch([], PAIRS).schema)
-        return out
+            i, j = (np.concatenate([h[x] for h in hold]) for x in (0, 1))
+            return _batch(_pair_rows(node[i], node[j], size[i], size[j], buckets), PAIRS)
+
+        if not whole:
+            i = np.flatnonzero(np.repeat(length > NEXT + 1, length))
+            yield _batch(_pair_rows(node[i], node[i], size[i], size[i], buckets), PAIRS)
+        for i, j in _all(first, length, size, root, num, den) if whole else _some(first, length, picked):
+            i, j = keep(i, j)
+            if len(i):
+                hold.append((i, j))
+                held += len(i)
+                if held > most:
+                    yield flush()
+                    hold, held = [], 0
+        if held:
+            yield flush()
 
     return run
 
 
 def _counted(limit: int, num: int, den: int):
-    """Pairs whose number of common prefix n-grams allows the threshold."""
+    """Pairs whose number of common prefix n-grams allows the threshold; (u, u) as they are."""
 
     def run(table: pa.Table) -> pa.Table:
         u, v, c, nu, nv = [], [], [], [], []
@@ -286,7 +360,7 @@ def _counted(limit: int, num: int, den: int):
         u, v, nu, nv = u[new], v[new], nu[new], nv[new]
         least = -(-num * (nu + nv) // (num + den))
         rest = np.maximum(need(nu, num, den), need(nv, num, den)) - 1
-        ok = (c + rest >= least) | (np.maximum(nu, nv) <= limit)
+        ok = (c + rest >= least) | (np.maximum(nu, nv) <= limit) | (u == v)
         return pa.table({"u": u[ok], "v": v[ok], "c": c[ok]})
 
     return run
@@ -334,8 +408,10 @@ def _mark_slots(cells: int):
     return run
 
 
-def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row; sets link at num/den Jaccard or more."""
+def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, hot: int = HOT) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row; sets link at num/den Jaccard or more, which must be over one half."""
+    if not den < 2 * num <= 2 * den:
+        raise ValueError(f"the threshold must be over 1/2 and at most 1, not {num}/{den}")
     spark = docs.sparkSession
     tune(spark)
     scratch = Scratch(spark)
@@ -346,7 +422,8 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFram
     cells = spark.sparkContext.broadcast(np.minimum(sketch, 2**31 - 1).astype(np.int32))
     nodes = scratch.cut(rows.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep")))
 
-    found = d.where("text is not null and doc_id is not null").mapInArrow(_prefixes(n, num, den, cells), "doc_id long, a long, n long, p long, prefix binary, scan double")
+    texts = d.where("text is not null and doc_id is not null")
+    found = texts.mapInArrow(_prefixes(n, num, den, cells), "doc_id long, a long, n long, p long, prefix binary, scan double")
     reps = nodes.select(F.col("a").alias("na"), "rep")
     found = found.join(reps, (found["a"] == reps["na"]) & (found["doc_id"] == reps["rep"])).drop("na", "rep")
     found = scratch.cut(found.dropDuplicates(["a"]))
@@ -354,33 +431,51 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFram
     limit = boundary_of([(r["n"], r["k"], r["scan"]) for r in sizes], num, den)
     buckets = max(12, sum(r["p"] for r in sizes) // PER_BUCKET)
 
+    def candidates(sets: DataFrame, whole: bool) -> DataFrame:
+        lists = sets.select("a", "n", "p", "prefix", "root").mapInArrow(_lists(limit, buckets, num, den, cells, whole, hot), LISTS)
+        packed = lists.groupBy("bucket").applyInArrow(_candidates(limit, buckets, num, den, whole), PAIRS)
+        return scratch.cut(packed.groupBy("bucket").applyInArrow(_counted(limit, num, den), "u long, v long, c long"))
+
+    first = candidates(found.withColumn("root", F.col("a")), False)
+    pairs, again = first.where("u <> v"), first.where("u = v").select(F.col("u").alias("a"))
+
+    # Whole sets of all nodes that any pair can have, read once.
+    ids = first.select(F.explode(F.array("u", "v")).alias("a")).distinct()
+    ids = scratch.cut(ids.join(nodes.select("a", "rep").where("rep is not null"), "a"))
+    slots = 1 << min(23, max(16, int(32 * ids.count()).bit_length()))
+    flags = counting.collect(ids.select("rep").mapInArrow(_mark_slots(slots), counting.SCHEMA), slots).get("wanted", np.zeros(slots, np.int64)) > 0
+    members = texts.mapInArrow(_members(n, spark.sparkContext.broadcast(flags), slots), "doc_id long, a long, n long, m long, grams binary")
+    of = ids.select(F.col("a").alias("ia"), "rep")
+    members = members.join(of, (members["a"] == of["ia"]) & (members["doc_id"] == of["rep"])).dropDuplicates(["a"]).select("a", "n", "m", "grams")
+    members = scratch.cut(members)
+
     def verified(pairs: DataFrame) -> DataFrame:
-        """Links among candidate pairs, on whole sets of the nodes in them."""
-        ids = pairs.select(F.explode(F.array("u", "v")).alias("a")).distinct()
-        ids = scratch.cut(ids.join(nodes.select("a", "rep").where("rep is not null"), "a"))
-        slots = 1 << min(23, max(16, int(32 * ids.count()).bit_length()))
-        flags = counting.collect(ids.select("rep").mapInArrow(_mark_slots(slots), counting.SCHEMA), slots).get("wanted", np.zeros(slots, np.int64)) > 0
-        members = d.where("text is not null and doc_id is not null").mapInArrow(_members(n, spark.sparkContext.broadcast(flags), slots), "doc_id long, a long, n long, m long, grams binary")
-        of = ids.select(F.col("a").alias("ia"), "rep")
-        members = members.join(of, (members["a"] == of["ia"]) & (members["doc_id"] == of["rep"])).dropDuplicates(["a"]).select("a", "n", "m", "grams")
-        members = scratch.cut(members)
+        """Links among pairs, on whole sets."""
         for x in ("u", "v"):
             pairs = pairs.join(members.select(F.col("a").alias(x), F.col("n").alias(f"n_{x}"), F.col("m").alias(f"m_{x}"), F.col("grams").alias(f"grams_{x}")), x)
         return scratch.cut(pairs.select("u", "v", "n_u", "m_u", "grams_u", "n_v", "m_v", "grams_v").mapInArrow(_verify(num, den), "u long, v long"))
 
-    def candidates(sets: DataFrame, pivots: bool) -> DataFrame:
-        lists = sets.select("a", "n", "p", "prefix", "root").mapInArrow(_lists(limit, buckets, num, den), LISTS)
-        packed = lists.groupBy("bucket").applyInArrow(_candidates(limit, buckets, num, den, pivots), PAIRS)
-        return scratch.cut(packed.groupBy("bucket").applyInArrow(_counted(limit, num, den), "u long, v long, c long"))
-
-    first = candidates(found.withColumn("root", F.col("a")), True)
-    # A root equal to the node itself says that it is in no component yet; the best pivot of each node is tried first.
-    best = first.groupBy("v").agg(F.max_by("u", F.struct("c", "u")).alias("u")).select("u", "v")
-    best = best.union(first.groupBy("u").agg(F.max_by("v", F.struct("c", "v")).alias("v")).select("u", "v")).distinct()
-    links = verified(scratch.cut(best))
-    roots = scratch.cut(components(links))
-    second = candidates(found.join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a")), False)
-    links = links.union(verified(second.select("u", "v")))
+    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """Pairs whose nodes are in different components."""
+        for x in ("u", "v"):
+            pairs = pairs.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"r_{x}")), x, "left").withColumn(f"r_{x}", F.coalesce(f"r_{x}", x))
+        return pairs.where("r_u <> r_v").select("u", "v", "c")
+
+    def best(pairs: DataFrame) -> DataFrame:
+        """For each node, its pair with most in common."""
+        to = pairs.groupBy("v").agg(F.max_by("u", F.struct("c", "u")).alias("u")).select("u", "v")
+        return to.union(pairs.groupBy("u").agg(F.max_by("v", F.struct("c", "v")).alias("v")).select("u", "v")).distinct()
+
+    links, left = None, pairs
+    for choose in (best, best, lambda p: p.select("u", "v")):
+        todo = scratch.cut(choose(left))
+        held = verified(todo)
+        links = held if links is None else links.union(held)
+        roots = scratch.cut(components(links))
+        left = scratch.cut(apart(left.join(todo, ["u", "v"], "left_anti"), roots))
+    rooted = found.join(again, "a", "left_semi").join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    second = candidates(rooted, True).select("u", "v")
+    links = links.union(verified(second.join(pairs, ["u", "v"], "left_anti")))
     roots = components(links)
     final = nodes.join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
     least = final.groupBy("root").agg(F.min("rep").alias("component_id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import uuid
@@ -14,20 +15,22 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def tune(spark: SparkSession) -> None:
-    """Keep each Arrow batch small, since one row can hold a very long text."""
+    """Keep each Arrow batch small in rows and bytes, since one row can hold a very long text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, else the context's checkpoint folder.
+
+    Where neither is set, a temporary folder serves a master of one machine (as in tests); on a cluster that raises."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        have = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = have.get() if have.isDefined() else tempfile.mkdtemp(prefix="skein-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(where)
-    return where
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not where and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="skein-"))
+    return where or context._jsc.sc().getCheckpointDir().get()
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -80,7 +80,7 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offs - offs[0]
 
 
-def pieces(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Row slices of about `most` text bytes; a longer text stays whole in a slice of its own."""
     _, offs = flat(batch.column(batch.schema.get_field_index(text)))
     n, at = batch.num_rows, 0

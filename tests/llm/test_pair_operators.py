@@ -72,6 +72,29 @@ def test_join_matches_brute_force(spark, n, num, seed):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, n, num)
 
 
+@pytest.mark.parametrize("hot", [ngram_jaccard.HOT, 25])
+def test_join_of_many_copies_near_the_threshold(spark, hot):
+    """Hundreds of copies that share rare n-grams, many just below the threshold; also with hot lists split."""
+    rnd = random.Random(7)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(300):
+        t = list(base)
+        for _ in range(rnd.choice((0, 1, 2, 3, 4, 5, 6))):
+            t[rnd.randrange(len(t))] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(t[rnd.randrange(12) :])))
+    rows += [(1000 + i, " ".join(f"y{i}_{j}" for j in range(rnd.randrange(20, 40))) + " " + " ".join(base[:14])) for i in range(60)]
+    rows.append((5000, " ".join(f"z{i % 4000}" for i in range(60_000))))
+    rows.append((5001, " ".join(f"z{i % 4000}" for i in range(60_000)) + " end"))
+    got = ngram_jaccard.join(table(spark, rows), hot=hot).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 4, 85)
+
+
+def test_join_raises_below_one_half(spark):
+    with pytest.raises(ValueError):
+        ngram_jaccard.join(table(spark, []), num=50)
+
+
 def test_join_empty(spark):
     assert ngram_jaccard.join(table(spark, [])).count() == 0
 
