@@ -28,6 +28,8 @@ SHARD_TOKENS = 1 << 18
 MAX_SHARDS = 1 << 16
 #: Sources are broadcast up to this number, and joined by a shuffle beyond it.
 FEW_SOURCES = 100_000
+#: Blocks that a source's target has at least, so that a small source comes near it at any size of the whole.
+FEWEST = 64
 SEED = 7
 
 
@@ -85,6 +87,10 @@ def mix(docs: DataFrame, most: int = MOST, blocks: int = BLOCKS, shard_tokens: i
     s = s.withColumn("block", F.greatest(F.lit(1), F.floor(F.sum("source_size").over(whole) / blocks)).cast("long"))
     s = s.withColumn("seats", F.round(F.sum("target").over(whole) / F.col("block")).cast("long")).withColumn("g", F.lit(0))
     s = apportion(s, "target", "seats", ["g"], ["source"])
+    # A source whose target is a few blocks only gets its target in smaller ones.
+    few = F.col("target") < FEWEST * F.col("block")
+    fine = F.greatest(F.lit(1), F.floor(F.col("target") / FEWEST)).cast("long")
+    s = s.withColumn("quota", F.when(few, F.round(F.col("target") / fine).cast("long")).otherwise(F.col("quota"))).withColumn("block", F.when(few, fine).otherwise(F.col("block")))
     n_shards = F.least(F.lit(MAX_SHARDS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_tokens)))
     s = cut(s.select(F.col("source").alias("of"), "source_size", "target", "block", F.col("quota").alias("seats"), n_shards.alias("n_shards")))
     small = F.broadcast(s) if s.count() <= FEW_SOURCES else s
