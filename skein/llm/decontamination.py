@@ -42,7 +42,7 @@ HITS = 1 / 6
 AT_ONCE = 1 << 21
 MATCH, MISMATCH, GAP = 2, -1, -1
 SCORE = 0.5
-BLOCK_WORDS = 1 << 22
+BLOCK_WORDS = 1 << 20
 
 
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:

@@ -28,6 +28,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
 SCALE = 1 << 12
+#: The matrix of so many languages has 256 MB, which is what the broadcast may hold; more raise.
+MOST_LANGUAGES = 1024
 _MUL = np.array([2654435761, 2246822519, 3266489917, 668265263], np.uint32)
 _letters: dict = {}
 
@@ -85,6 +87,8 @@ def _count(it):
 def fit(train: DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
     """Languages, integer log-probability matrix and priors, from all rows of (text, lang)."""
     rows = train.where("lang is not null and text is not null").select(F.lower("text").alias("text"), "lang")
+    if train.where("lang is not null").select("lang").distinct().count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     sums = counting.collect(rows.mapInArrow(_count, counting.SCHEMA), 2 * BUCKETS)
     names = sorted(sums)
     if not names:

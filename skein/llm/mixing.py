@@ -94,7 +94,7 @@ def mix(docs: DataFrame, most: int = MOST, blocks: int = BLOCKS, shard_tokens: i
     n_shards = F.least(F.lit(MAX_SHARDS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_tokens)))
     s = cut(s.select(F.col("source").alias("of"), "source_size", "target", "block", F.col("quota").alias("seats"), n_shards.alias("n_shards")))
     small = F.broadcast(s) if s.count() <= FEW_SOURCES else s
-    d = d.join(small, d["source"].eqNullSafe(s["of"])).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("n_shards")))
+    d = d.join(small, d["source"].eqNullSafe(s["of"])).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.col("n_shards")))
 
     shards = d.groupBy("of", "shard", "block", "seats").agg(F.sum("size").alias("shard_size"))
     shards = apportion(shards, "shard_size", "seats", ["of"], ["shard"])

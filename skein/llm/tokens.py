@@ -52,7 +52,14 @@ def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
 #: `[^\x20\x09-\x0D]+`
 SPACED = byte_class((0x20, 0x20), (0x09, 0x0D))
 
-_powers: dict[str, np.ndarray] = {}
+class _Cache(dict):
+    """Pickled empty: what the driver has computed doesn't travel with every task's code."""
+
+    def __reduce__(self):
+        return _Cache, ()
+
+
+_powers = _Cache()
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -10,7 +10,8 @@ Records with equal payloads of at least `least` bytes: the one with the largest
 response and the others are revisits of it; smaller payloads are always responses.  A
 null payload is empty.  Rows that repeat an id are separate records of that id; of equal
 ones with the largest id, all are responses.  A null id never is the target of a revisit
-unless no other id has the payload; then all are responses.
+unless no other id has the payload; then all are responses.  Payloads are kept whole, however
+long.  An empty table gives an empty archive; extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,14 +32,25 @@ LEAST = 1000
 DATE = "2024-01-01T00:00:00Z"
 
 
+#: Of a revisit, as the WARC standard names it.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+
+
+def _record_id(page, address):
+    """The page's id and its payload's: records that repeat a page id have ids of their own unless they are equal."""
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(":"), F.substring(address, 1, 16), F.lit(">"))
+
+
 def _header(kind):
-    """Exact WARC header bytes, with the HTTP head of a response as its last lines."""
-    lines = [F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), kind), F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(">"))]
+    """Exact bytes before a record's payload: the WARC header, and the HTTP head with which its block begins."""
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n"))
+    block = F.octet_length(http) + F.when(kind == "revisit", F.lit(0)).otherwise(F.col("payload_bytes"))
+    lines = [F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), kind), F.concat(F.lit("WARC-Record-ID: "), _record_id(F.col("page_id"), F.col("address")))]
     lines += [F.lit(f"WARC-Date: {DATE}"), F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]+", " "))]
     lines += [F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest"))]
-    lines += [F.when(kind == "revisit", F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">")))]
-    lines += [F.lit("Content-Type: text/html; charset=utf-8"), F.concat(F.lit("Content-Length: "), F.when(kind == "revisit", F.lit("0")).otherwise(F.col("payload_bytes").cast("string")))]
-    return F.encode(F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n")), "UTF-8")
+    lines += [F.when(kind == "revisit", F.concat(F.lit("WARC-Refers-To: "), _record_id(F.col("refers_to"), F.col("address")))), F.when(kind == "revisit", F.lit(f"WARC-Profile: {PROFILE}"))]
+    lines += [F.lit("Content-Type: application/http; msgtype=response"), F.concat(F.lit("Content-Length: "), block.cast("string"))]
+    return F.encode(F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), http), "UTF-8")
 
 
 def write_archive(pages: DataFrame, path: str, least: int = LEAST) -> None:
@@ -65,8 +77,8 @@ def read_archive(spark, path: str) -> DataFrame:
     heads = spark.read.parquet(f"{path}/headers")
     goods = spark.read.parquet(f"{path}/payloads")
     r = heads.join(goods, ["address", "payload_bytes"])
-    ident = F.regexp_extract(_field("WARC-Record-ID"), "<urn:page:(.*)>", 1)
-    refers = F.regexp_extract(_field("WARC-Refers-To"), "<urn:page:(.*)>", 1)
+    ident = F.regexp_extract(_field("WARC-Record-ID"), "<urn:page:([^:>]*)", 1)
+    refers = F.regexp_extract(_field("WARC-Refers-To"), "<urn:page:([^:>]*)", 1)
     return r.select(
         F.when(ident != "none", ident.cast("long")).alias("page_id"), _field("WARC-Target-URI").alias("url"), "payload", F.length("payload").cast("long").alias("payload_bytes"),
         F.sha1("payload").alias("payload_digest"), _field("WARC-Type").alias("record_type"), F.when(refers != "", refers.cast("long")).alias("refers_to"),
@@ -75,7 +87,7 @@ def read_archive(spark, path: str) -> DataFrame:
 
 
 def export(records: DataFrame) -> DataFrame:
-    """`record`: the exact WARC bytes of each record; a revisit has no payload of its own."""
+    """`record`: the exact WARC bytes of each record; a revisit's block is its HTTP head alone."""
     body = F.when(F.col("record_type") == "revisit", F.encode(F.lit(""), "UTF-8")).otherwise(F.col("payload"))
     return records.select("page_id", F.concat("header", body, F.encode(F.lit("\r\n\r\n"), "UTF-8")).alias("record"))
 
@@ -94,7 +106,9 @@ def parse(data: bytes) -> list[tuple[dict, bytes, bytes]]:
 
 
 def archive(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """Write the pages' archive to the shared folder, read it back and return its verified records."""
+    """Write the pages' archive to the shared folder, read it back and return its verified records.
+
+    The archive is the product, so it stays there; `write_archive` takes a path of the caller's."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_archive(pages, path, least)

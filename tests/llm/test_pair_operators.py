@@ -156,6 +156,8 @@ def test_spans(spark):
             parts.insert(rnd.randrange(len(parts) + 1), "\n" + passage + "\n")
         rows.append((i, " ".join(parts)))
     rows += [(50, None), (51, ""), (52, " \n "), (53, passage), (53, passage), (None, passage)]
+    long = " ".join(f"l{i}" + "." * (i % 17 == 0) for i in range(150_000))
+    rows += [(60, long + ". tail"), (61, "head. " + long)]
     docs, gone = spans_by_hand(rows, 20)
     got = sentence_spans.dedup(table(spark, rows), 20).collect()
     assert len(got) == len(rows)
