@@ -12,8 +12,8 @@ corpus, rarest first, so frequent passages don't bring documents together.
 * The boundary is the one at which the estimated cost of subsets plus list scans is least.
 
 Lists are packed in numpy arrays, dealt by hash.  In the first pass short lists make all their
-pairs; in longer ones a set meets one or two others, and only in the few lists that it picks, so
-the pairs grow with the sets, however large a group of copies is.  Pairs that are met often enough for the threshold are verified on whole sets, best
+pairs; in longer ones, of which some are picked, a member meets up to three others, so the pairs
+grow with the sets, however large a group of copies is.  Pairs that are met often enough for the threshold are verified on whole sets, best
 ones first, and linked nodes are merged after every step, so most pairs of a group of copies
 fall away untested.  In the second pass the lists that were too long to make all their pairs
 are read again: now all pairs of a list that are still in different components are counted,
@@ -54,10 +54,14 @@ SKETCH = 1 << 23
 PER_BUCKET = 400_000
 #: Lists whose n-gram may stand in more sets than this are split over buckets.
 HOT = 1 << 20
-#: In the first pass lists of up to NEXT + 1 members make all their pairs; in longer ones, those of its lists that a set picks, it meets the next in size and the first.
+#: In the first pass lists of up to NEXT + 1 members make all their pairs; in longer ones, of which some are picked by hash, each member meets the next in size, one further on and the first.
 NEXT = 3
-#: Long lists that a set picks, by least hash, so that sets with most n-grams in common pick mostly the same.
-PICKS = 16
+#: One in so many of the long lists of 2-subsets is used in the first pass; sets with most n-grams in common share many of them.
+PICK = 8
+#: In a long list a member also meets one that comes so much later at most.
+FAR = 64
+#: Added to the count of a pair of the first pass that meets in a long list, where not all that it has in common is counted.
+PARTLY = 1 << 32
 #: Lists up to this length make their pairs together, longer ones row by row.
 SHORT = 32
 
@@ -190,12 +194,12 @@ def _split(key, own, shards, whole: bool):
 def _lists(limit: int, buckets: int, num: int, den: int, cells, whole: bool, hot: int):
     """Entries of the inverted lists, packed by bucket: single n-grams (odd keys) and 2-subsets of light sets (even keys).
 
-    `left` is twice the number of n-grams that a set has from the list's n-gram on, of a subset from its last one on and one more; plus one if the set picks the list."""
+    `left` is how many n-grams a set has from the list's n-gram on; of a subset, from its last one on and one more."""
 
     def run(it):
         seen = cells.value
         for batch in it:
-            key, node, size, root, left, often, picked = [], [], [], [], [], [], []
+            key, node, size, root, left, often = [], [], [], [], [], []
             for a, n, p, blob, r in zip(*(batch.column(c).to_pylist() for c in ("a", "n", "p", "prefix", "root"))):
                 s = unpack(blob, p)
                 k, rest, most = [], [], []
@@ -211,9 +215,6 @@ def _lists(limit: int, buckets: int, num: int, den: int, cells, whole: bool, hot
                     rest.append(1 + n - j)
                     most.append(np.minimum(count[i], count[j]))
                 k = np.concatenate(k)
-                pick = np.zeros(len(k), np.int64)
-                pick[np.argsort(mix(k))[:PICKS]] = 1
-                picked.append(pick)
                 key.append(k)
                 left.append(np.concatenate(rest))
                 often.append(np.concatenate(most))
@@ -222,8 +223,7 @@ def _lists(limit: int, buckets: int, num: int, den: int, cells, whole: bool, hot
                 root.append(np.full(len(k), r, np.int64))
             if not key:
                 continue
-            key, node, size, root, left, often, picked = map(np.concatenate, (key, node, size, root, left, often, picked))
-            left = 2 * left + picked
+            key, node, size, root, left, often = map(np.concatenate, (key, node, size, root, left, often))
             if (often > hot).any():
                 row, key = _split(key, node.view(np.uint64), -(-np.maximum(often, 1) // hot), whole)
                 node, size, root, left = node[row], size[row], root[row], left[row]
@@ -240,7 +240,7 @@ def _lists(limit: int, buckets: int, num: int, den: int, cells, whole: bool, hot
 
 
 def _joined(batches):
-    """All entries of a bucket by list, size and node: key, node, size, root, left and whether the list is picked."""
+    """All entries of a bucket by list, size and node."""
     key, node, size, root, left = [], [], [], [], []
     for batch in batches:
         for n, k, a, s, r, x in zip(*(batch.column(c).to_pylist() for c in ("n", "key", "node", "size", "root", "left"))):
@@ -251,38 +251,45 @@ def _joined(batches):
             left.append(unpack(x, n).view(np.int64))
     key, node, size, root, left = map(np.concatenate, (key, node, size, root, left))
     order = np.lexsort((node, size, key))
-    return key[order], node[order], size[order], root[order], left[order] >> 1, (left[order] & 1) == 1
+    return key[order], node[order], size[order], root[order], left[order]
 
 
-def _pair_rows(u, v, nu, nv, buckets: int) -> list:
-    """Pairs with their number of common keys, packed by bucket."""
+def _pair_rows(u, v, nu, nv, buckets: int, more: int = 0) -> list:
+    """Pairs with their number of common keys plus `more`, packed by bucket."""
     swap = u > v
     u, v, nu, nv = np.where(swap, v, u), np.where(swap, u, v), np.where(swap, nv, nu), np.where(swap, nu, nv)
     b = ((mix(u ^ mix(v)) >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
     order = np.lexsort((v, u, b))
     u, v, nu, nv, b = u[order], v[order], nu[order], nv[order], b[order]
     new = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])) if len(u) else np.zeros(0, np.int64)
-    c = np.diff(np.append(new, len(u)))
+    c = np.diff(np.append(new, len(u))) + more
     u, v, nu, nv, b = u[new], v[new], nu[new], nv[new], b[new]
     cuts = np.flatnonzero(np.diff(b, prepend=-1, append=buckets)) if len(b) else np.zeros(1, np.int64)
     return [(int(b[x]), int(y - x), *(pack(z[x:y].astype(np.uint64)) for z in (u, v, c, nu, nv))) for x, y in zip(cuts[:-1], cuts[1:])]
 
 
-def _some(first, length, picked):
-    """Index pairs of the first pass."""
+def _some(key, first, length):
+    """Index pairs of the first pass, and whether their list is a long one."""
+    picked = ((key & _U(1)) == 1) | (mix(key) % _U(PICK) == 0)
     short = np.repeat(length <= NEXT + 1, length)
     end = np.repeat(first + length, length)
     at = np.flatnonzero(short)
     for s in range(1, NEXT + 1):
         at = at[at + s < end[at]]
-        yield at, at + s
+        yield at, at + s, False
     at = np.flatnonzero(~short & picked)
     head = np.repeat(first, length)[at]
     same = head[1:] == head[:-1]
-    yield at[:-1][same], at[1:][same]
+    yield at[:-1][same], at[1:][same], True
     lead = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(at)), 0)) if len(at) else at
     far = np.arange(len(at)) - lead > 1
-    yield at[lead[far]], at[far]
+    yield at[lead[far]], at[far], True
+    # Lists of one group have much the same members in the same order, so each list has a distance of its own.
+    i = np.arange(len(at))
+    j = i + 2 + (mix(~key[at]) % _U(FAR)).astype(np.int64)
+    i, j = i[j < len(at)], j[j < len(at)]
+    same = head[i] == head[j]
+    yield at[i[same]], at[j[same]], True
 
 
 def _all(first, length, size, root, num: int, den: int):
@@ -293,7 +300,7 @@ def _all(first, length, size, root, num: int, den: int):
     end = np.repeat((first + length)[short], length[short])
     for s in range(1, SHORT):
         at, end = at[at + s < end], end[at + s < end]
-        yield at, at + s
+        yield at, at + s, False
     for x, m in zip(first[long], length[long]):
         names, which, counts = np.unique(root[x : x + m], return_inverse=True, return_counts=True)
         own = which != counts.argmax()
@@ -302,50 +309,53 @@ def _all(first, length, size, root, num: int, den: int):
         for i in np.flatnonzero(own):
             j = np.arange(low[i], high[i])
             j = j[~own[j] | (j > i)]
-            yield np.full(len(j), x + i), x + j
+            yield np.full(len(j), x + i), x + j, False
 
 
 def _candidates(limit: int, buckets: int, num: int, den: int, whole: bool, most: int = 1 << 20):
     """Pairs that a bucket's lists put forward; in the first pass also (u, u) for each member of a list that couldn't make all its pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, node, size, root, left, picked = _joined(batches)
+        key, node, size, root, left = _joined(batches)
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         length = np.diff(np.append(first, len(key)))
-        hold, held = [], 0
+        hold, held = {False: [], True: []}, 0
 
-        def keep(i, j):
+        def keep(i, j, partly):
             a, b = size[i], size[j]
-            # No n-gram of both stands before the first of these, so each side has at most so many in common from here on.
-            at_most = np.minimum(left[i], left[j])
+            # What both can have in common from here on, and before.  Two light sets meet in the subset of
+            # their first two, before which they have nothing; all that a heavy one shares is counted.
+            at_most, before = np.minimum(left[i], left[j]), np.minimum(a - left[i], b - left[j])
             single = (key[i] & _U(1)) == 1
-            at_most = np.where(single, at_most + np.minimum(a - left[i], b - left[j]), at_most)
-            ok = (at_most >= -(-num * (a + b) // (num + den))) & (root[i] != root[j]) & (~single | (np.maximum(a, b) > limit))
+            at_most = np.where(single | partly, at_most + before, at_most)
+            ok = (at_most >= -(-num * (a + b) // (num + den))) & (root[i] != root[j]) & (~single | partly | (np.maximum(a, b) > limit))
             return i[ok], j[ok]
 
         def flush():
-            i, j = (np.concatenate([h[x] for h in hold]) for x in (0, 1))
-            return _batch(_pair_rows(node[i], node[j], size[i], size[j], buckets), PAIRS)
+            for partly, pairs in hold.items():
+                if pairs:
+                    i, j = (np.concatenate([h[x] for h in pairs]) for x in (0, 1))
+                    yield _batch(_pair_rows(node[i], node[j], size[i], size[j], buckets, PARTLY if partly else 0), PAIRS)
+                    pairs.clear()
 
         if not whole:
             i = np.flatnonzero(np.repeat(length > NEXT + 1, length))
             yield _batch(_pair_rows(node[i], node[i], size[i], size[i], buckets), PAIRS)
-        for i, j in _all(first, length, size, root, num, den) if whole else _some(first, length, picked):
-            i, j = keep(i, j)
+        for i, j, partly in _all(first, length, size, root, num, den) if whole else _some(key, first, length):
+            i, j = keep(i, j, partly)
             if len(i):
-                hold.append((i, j))
+                hold[partly].append((i, j))
                 held += len(i)
                 if held > most:
-                    yield flush()
-                    hold, held = [], 0
-        if held:
-            yield flush()
+                    yield from flush()
+                    held = 0
+        yield from flush()
 
     return run
 
 
 def _counted(limit: int, num: int, den: int):
-    """Pairs whose number of common prefix n-grams allows the threshold; (u, u) as they are."""
+    """Pairs whose number of common prefix n-grams allows the threshold, or isn't known wholly; (u, u) as they are."""
 
     def run(table: pa.Table) -> pa.Table:
         u, v, c, nu, nv = [], [], [], [], []
@@ -358,9 +368,10 @@ def _counted(limit: int, num: int, den: int):
         new = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])]))
         c = np.add.reduceat(c, new)
         u, v, nu, nv = u[new], v[new], nu[new], nv[new]
+        partly, c = c >= PARTLY, c % PARTLY
         least = -(-num * (nu + nv) // (num + den))
         rest = np.maximum(need(nu, num, den), need(nv, num, den)) - 1
-        ok = (c + rest >= least) | (np.maximum(nu, nv) <= limit) | (u == v)
+        ok = (c + rest >= least) | (np.maximum(nu, nv) <= limit) | (u == v) | partly
         return pa.table({"u": u[ok], "v": v[ok], "c": c[ok]})
 
     return run
