@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.functions.text import norm, normalize_answer, parse_answer, ratio, strip
+from skein.operators.ordered import running_sums
+from skein.sources.store import cut
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -120,32 +122,48 @@ def first_examples(rows: DataFrame, by: str, order: str, n: int = 3) -> DataFram
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
-def contain(pred: Column, gold: Column) -> Column:
-    """1 if the normalised gold stands in the normalised prediction; an empty gold always does."""
-    return F.contains(normalize_answer(pred), normalize_answer(gold)).cast("int")
-
-
 def running_mean(rows: DataFrame, col: str, order: str, by: str | None = None) -> DataFrame:
-    w = (Window.partitionBy(by) if by else Window.partitionBy()).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("running", F.round(F.avg(col).over(w), 6))
+    """Adds `running`: the mean of the group's rows up to this one."""
+    one = rows.withColumns({"_value": F.col(col).cast("double"), "_one": F.lit(1)})
+    sums = running_sums(one, ["_value", "_one"], [order], [by] if by else None)
+    return sums.withColumn("running", F.round(F.col("_value_upto") / F.col("_one_upto"), 6)).drop("_value", "_one", "_value_upto", "_one_upto")
 
 
-def gold_found(items: DataFrame, texts: DataFrame, prefix: int = 100) -> DataFrame:
+def gold_found(items: DataFrame, texts: DataFrame, prefix: int = 100, block_bytes: int = 16 << 20) -> DataFrame:
     """item_id, found: does any text contain the item's first characters, or the item a text's.
 
-    The items are the small side; beyond a checked size they are cut into blocks."""
-    n = items.count()
-    blocks = max(1, -(-n // 5000))
-    out = None
+    A string that holds another holds its first characters too, at some place: so both sides
+    meet by an equi-join on `SEED` characters, the needle's first ones with every window of
+    the haystack, and only pairs that meet are compared.  Needles shorter than that are few
+    enough to be broadcast in blocks of a checked size, as distinct strings."""
+    t = texts.where(F.coalesce("text", F.lit("")) != "").select("text").distinct()
+    i = items.where("text is not null").select("item_id", F.col("text").alias("item_text"))
+    head = lambda c: F.substring(c, 1, prefix)
+    a = _held(t.select(F.col("text").alias("hay")), i.select("item_id", head("item_text").alias("needle")), ["item_id"], block_bytes)
+    b = _held(i.select("item_id", F.col("item_text").alias("hay")), t.select(head("text").alias("needle")).distinct(), ["item_id"], block_bytes)
+    hit = a.unionByName(b).distinct().withColumn("found", F.lit(True))
+    return items.select("item_id").join(hit, "item_id", "left").select("item_id", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+#: Characters by which a needle and the texts that may hold it meet.
+SEED = 24
+
+
+def _held(hay: DataFrame, needles: DataFrame, keep: list[str], block_bytes: int) -> DataFrame:
+    """`keep` of every pair whose hay contains the needle."""
+    windows = F.transform(F.sequence(F.lit(1), F.length("hay") - SEED + 1), lambda k: F.xxhash64(F.substring(F.col("hay"), k, F.lit(SEED))))
+    seeds = needles.where(F.length("needle") >= SEED).withColumn("seed", F.xxhash64(F.substring("needle", 1, SEED)))
+    named = hay.withColumn("h", F.xxhash64("hay"))
+    # Only hashes are exploded; the strings of pairs that meet are fetched again.
+    places = named.where(F.length("hay") >= SEED).select("h", *(c for c in keep if c in hay.columns), F.explode(F.array_distinct(windows)).alias("seed"))
+    met = places.join(seeds, "seed").select("h", "needle", *keep).distinct()
+    met = met.join(named.select("h", "hay").distinct(), "h").where(F.contains("hay", "needle")).select(*keep)
+    short = cut(needles.where(F.length("needle") < SEED))
+    blocks = max(1, -(-(short.agg(F.sum(F.octet_length("needle") + 16)).first()[0] or 0) // block_bytes))
     for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        head = lambda c: F.substring(c, 1, prefix)
-        i = F.broadcast(part.select("item_id", F.col("text").alias("item_text")))
-        t = texts.where(F.coalesce("text", F.lit("")) != "").select("text")
-        hit = t.join(i, F.contains(F.col("text"), head(F.col("item_text"))) | F.contains(F.col("item_text"), head(F.col("text")))).select("item_id").distinct()
-        got = part.select("item_id").join(hit.withColumn("found", F.lit(True)), "item_id", "left").select("item_id", F.coalesce("found", F.lit(False)).alias("found"))
-        out = got if out is None else out.unionByName(got)
-    return out
+        part = F.broadcast(short.where(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == b))
+        met = met.unionByName(hay.join(part, F.contains("hay", "needle")).select(*keep))
+    return met
 
 
 def timing_means(lines: DataFrame, pattern: str, last: int) -> DataFrame:
@@ -158,5 +176,5 @@ def timing_means(lines: DataFrame, pattern: str, last: int) -> DataFrame:
 
 def speedups(means: DataFrame, order: str) -> DataFrame:
     """Each row's speed against the first row's."""
-    w = Window.orderBy(order)
-    return means.withColumn("speedup", F.round(ratio(F.first("mean").over(w), F.col("mean")), 6))
+    first = means.agg(F.min_by("mean", order).alias("_first"))  # one row
+    return means.crossJoin(F.broadcast(first)).withColumn("speedup", F.round(ratio(F.col("_first"), F.col("mean")), 6)).drop("_first")

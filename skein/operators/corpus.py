@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 from skein.functions.ids import node_id
 from skein.functions.text import norm, occurrences, sentences, tokens
+from skein.operators.ordered import ranged
 
 
-def passages(docs: DataFrame, lang: str | None = "en") -> DataFrame:
+def passages(docs: DataFrame) -> DataFrame:
     """Distinct texts with their content id; new text only, as equal texts are one passage."""
-    d = docs.where(F.col("text").isNotNull())
-    if lang:
-        d = d.where(F.col("lang") == lang)
-    return d.select("text").distinct().select(node_id("passage", F.col("text")).alias("passage_id"), "text")
+    return docs.where(F.col("text").isNotNull()).select("text").distinct().select(node_id("passage", F.col("text")).alias("passage_id"), "text")
 
 
-def lexicon(p: DataFrame, least: int = 2, most: int = 40) -> DataFrame:
-    """Gazetteer: tokens that stand in between `least` and `most` passages."""
-    return p.select(F.explode(tokens(F.col("text"))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("df")).where(F.col("df").between(least, most))
+def lexicon(p: DataFrame, least: int = 2, share: float = 0.05) -> DataFrame:
+    """Gazetteer: tokens that stand in at least `least` passages, and in at most this share of them, so it is the same choice at every size."""
+    total = p.agg((F.count(F.lit(1)) * share).alias("most"))  # one row
+    df = p.select(F.explode(tokens(F.col("text"))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("df"))
+    return df.crossJoin(F.broadcast(total)).where((F.col("df") >= least) & (F.col("df") <= F.col("most"))).select("entity", "df")
 
 
 def passage_entities(p: DataFrame, lex: DataFrame) -> DataFrame:
@@ -53,12 +53,12 @@ def adjacent_edges(numbered: DataFrame) -> DataFrame:
     Numbers are dealt in ranges and each range's first row looks up the next range's, so no
     task sees more than one range."""
     n = numbered.select("passage_id", F.regexp_extract("text", r"^(\d+):", 1).alias("n")).where("n <> ''").select("passage_id", F.col("n").cast("long").alias("n"))
-    parts = n.repartitionByRange("n", "passage_id").withColumn("part", F.spark_partition_id())
-    w = Window.partitionBy("part").orderBy("n", "passage_id")
+    parts = ranged(n, "n", "passage_id")
+    w = Window.partitionBy("_part").orderBy("n", "passage_id")
     parts = parts.withColumn("next", F.lead("passage_id").over(w)).withColumn("rn", F.row_number().over(w))
-    heads = parts.where("rn = 1").select("part", F.col("passage_id").alias("head"))
-    following = heads.withColumn("before", F.lag("part").over(Window.orderBy("part"))).where("before is not null").select(F.col("before").alias("part"), "head")
-    joined = parts.join(F.broadcast(following), "part", "left")  # one row a partition
+    heads = parts.where("rn = 1").select("_part", F.col("passage_id").alias("head"))
+    following = heads.withColumn("before", F.lag("_part").over(Window.orderBy("_part"))).where("before is not null").select(F.col("before").alias("_part"), "head")
+    joined = parts.join(F.broadcast(following), "_part", "left")  # one row a range
     return joined.select(F.col("passage_id").alias("src"), F.coalesce("next", "head").alias("dst"), F.lit(1.0).alias("weight")).where("dst is not null")
 
 

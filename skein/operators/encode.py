@@ -21,7 +21,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DIM = 64
 #: Query values (rows x dimensions) that one broadcast may hold; more queries go in more blocks.
-BLOCK_VALUES = 1 << 24
+BLOCK_VALUES = 1 << 21
 
 
 def bucket(piece: str, dim: int = DIM) -> int:
@@ -42,11 +42,10 @@ def hashed(unit: str = "word", dim: int = DIM):
         known: dict = {}
         out = []
         for t in texts:
-            v = np.zeros(dim)
-            for p in _pieces(t or "", unit):
-                if p not in known:
-                    known[p] = bucket(p, dim)
-                v[known[p]] += 1
+            pieces = _pieces(t or "", unit)
+            for p in set(pieces).difference(known):
+                known[p] = bucket(p, dim)
+            v = np.bincount([known[p] for p in pieces], minlength=dim).astype(float) if pieces else np.zeros(dim)
             norm = np.sqrt((v * v).sum())
             out.append(v / norm if norm else v)
         return pd.Series(out)
@@ -54,11 +53,11 @@ def hashed(unit: str = "word", dim: int = DIM):
     return encode
 
 
-def similarities(queries: DataFrame, items: DataFrame, k: int | None = None, floor: float | None = None, confidence: str | None = None) -> DataFrame:
+def similarities(queries: DataFrame, items: DataFrame, k: int | None = None, floor: float | None = None, confidence: str | None = None, least: bool = False) -> DataFrame:
     """(q, item, score) of queries(q, v) against items(item, v): exact dot products, rounded to 6 places.
 
     Items keep their columns' names; `confidence` names an item column that multiplies the score.
-    With k, the best k of each query remain, ties by item."""
+    With k, the best k of each query remain, ties by item; with `least`, its lowest score as well."""
     spark = queries.sparkSession
     rows = queries.count()
     dim = DIM if rows == 0 else len(queries.select("v").first()[0])
@@ -84,6 +83,8 @@ def similarities(queries: DataFrame, items: DataFrame, k: int | None = None, flo
                 if k is not None and len(s) > k:
                     kth = np.partition(s, len(s) - k, axis=0)[len(s) - k]
                     keep &= s >= kth
+                if least:
+                    keep[s.argmin(axis=0), np.arange(s.shape[1])] = True
                 i, j = np.nonzero(keep)
                 yield pd.DataFrame({"q": names[j], "item": pdf["item"].to_numpy()[i], "score": s[i, j]})
 
@@ -91,7 +92,10 @@ def similarities(queries: DataFrame, items: DataFrame, k: int | None = None, flo
         got = items.select(*cols).mapInPandas(run, schema)
         out = got if out is None else out.unionByName(got)
     if k is not None:
-        out = top(out, ["q"], k)
+        w = Window.partitionBy("q")
+        last = F.row_number().over(w.orderBy("score", F.col("item").desc())) == 1
+        first = F.row_number().over(w.orderBy(F.col("score").desc(), "item")) <= k
+        out = out.withColumn("_keep", (first | last) if least else first).where("_keep").drop("_keep")
     return out
 
 

@@ -37,7 +37,6 @@ class Config:
     passage_ratio: float = 0.7
     passage_node_weight: float = 1.0
     damping: float = 0.85
-    steps: int = 10
     hyperedge_top_k: int = 30
     hyperedge_threshold: float = 0.3
     hyperedge_entity_boost: float = 1.2
@@ -45,18 +44,18 @@ class Config:
     context_hyperedges: int = 5
 
 
-# Presets of the tuning study: candidate pool, iterations and threshold.
+# Presets of the tuning study, for `retrieve`: candidate pool, iterations and threshold.
 PRESETS = {"baseline": Config(candidate_pool=10**9), "quick_fix": Config(candidate_pool=200), "balanced": Config(), "aggressive": Config(candidate_pool=200, top_k_sentence=3)}
 
 
 def seeds(questions: DataFrame, entities: DataFrame) -> DataFrame:
     """q, mention, entity, score: the most similar stored entity of each mention; no floor.
 
-    questions(q, text), entities(entity); mentions are the question's tokens."""
+    questions(q, text), entities(entity), with stored vectors v or without; mentions are the question's tokens."""
     enc = encode.hashed("gram")
     m = questions.select("q", F.explode(tokens(F.col("text"))).alias("mention"))
     texts = cut(m.select(F.col("mention").alias("q")).distinct().withColumn("v", enc("q")))
-    items = entities.select(F.col("entity").alias("item")).withColumn("v", enc("item"))
+    items = entities.select(F.col("entity").alias("item"), "v") if "v" in entities.columns else entities.select(F.col("entity").alias("item"), enc("entity").alias("v"))
     best = encode.similarities(texts, items, k=1)
     return m.join(best.select(F.col("q").alias("mention"), F.col("item").alias("entity"), "score"), "mention").select("q", "mention", "entity", "score")
 
@@ -130,33 +129,34 @@ def _walker(cfg: Config):
 def passage_scores(dense: DataFrame, passages: DataFrame, active: DataFrame, cfg: Config = Config()) -> DataFrame:
     """q, passage_id, score: dense similarity and occurrences of activated entities, for the candidates.
 
-    dense(q, passage_id, score) has every passage; min-max is over all of them, then the best
-    candidate_pool remain.  Counting is done where the candidate's text is; a question's
-    activated entities come as one list."""
+    dense(q, passage_id, score) has each question's best candidate_pool passages and its least
+    similar one at least, so min-max is over all passages; then the best candidate_pool remain.
+    Counting is done where the candidate's text is; a question's activated entities come as one
+    list, in lower case, as does the text."""
     d = dense.withColumn("dpr", encode.minmax(F.col("score"), ["q"]))
     pool = encode.top(d, ["q"], cfg.candidate_pool, tie="passage_id")
-    lists = active.groupBy("q").agg(F.collect_list(F.struct("entity", "score", "tier")).alias("active"))
-    c = pool.select("q", "passage_id", "dpr").join(lists, "q", "left").join(passages.select("passage_id", "text"), "passage_id")
-    low = F.lower("text")
-    each = F.transform(F.coalesce("active", F.array().cast("array<struct<entity:string,score:double,tier:int>>")), lambda a: a["score"] * F.log1p(occurrences(low, F.lower(a["entity"])).cast("double")) / a["tier"])
+    lists = active.groupBy("q").agg(F.collect_list(F.struct(F.lower("entity").alias("entity"), "score", "tier")).alias("active"))
+    c = pool.select("q", "passage_id", "dpr").join(lists, "q", "left").join(passages.select("passage_id", F.lower("text").alias("low")), "passage_id")
+    each = F.transform(F.coalesce("active", F.array().cast("array<struct<entity:string,score:double,tier:int>>")), lambda a: a["score"] * F.log1p(occurrences(F.col("low"), a["entity"]).cast("double")) / a["tier"])
     bonus = F.aggregate(each, F.lit(0.0), lambda s, x: s + x)
     score = (cfg.passage_ratio * F.col("dpr") + F.log1p(bonus)) * cfg.passage_node_weight
     return c.select("q", "passage_id", F.round(score, 6).alias("score"))
 
 
-def graph_search(seed, weights, p_scores, nodes, edges, cfg: Config = Config()) -> DataFrame:
-    """q, passage_id, score by personalised PageRank from entity and passage weights."""
+def graph_search(weights, p_scores, nodes, edges, cfg: Config = Config(), k: int | None = None, slack: float = 1.0) -> DataFrame:
+    """q, passage_id, score by personalised PageRank from entity weights (of spreading activation) and passage weights.
+
+    With k, only passages whose score times `slack` reaches the question's k-th one."""
     reset = weights.select("q", node_id("entity", F.col("entity")).alias("id"), F.col("weight").alias("w"))
     reset = reset.unionByName(p_scores.select("q", F.col("passage_id").alias("id"), F.col("score").alias("w")))
-    pr = graph.pagerank(nodes, edges, reset, cfg.damping, cfg.steps)
-    return pr.where(F.col("id").startswith("passage-")).select("q", F.col("id").alias("passage_id"), F.round("score", 6).alias("score"))
+    pr = graph.pagerank(nodes, edges, reset, cfg.damping, kind="passage", k=k, slack=slack)
+    return pr.select("q", F.col("id").alias("passage_id"), F.round("score", 6).alias("score"))
 
 
 def hyperedge_retrieve(questions: DataFrame, hyperedges: DataFrame, cfg: Config = Config()) -> DataFrame:
     """q, he_id, sentence, entities, score, rank: similarity times confidence, the best 30 at 0.3 or more."""
-    enc = encode.hashed("word")
-    items = hyperedges.select(F.col("he_id").alias("item"), enc("sentence").alias("v"), F.col("score").alias("confidence"))
-    s = encode.similarities(cut(questions.select("q", enc("text").alias("v"))), items, k=cfg.hyperedge_top_k, confidence="confidence")
+    items = encoded(hyperedges, "sentence").select(F.col("he_id").alias("item"), "v", F.col("score").alias("confidence"))
+    s = encode.similarities(cut(encoded(questions).select("q", "v")), items, k=cfg.hyperedge_top_k, confidence="confidence")
     s = encode.top(s, ["q"], cfg.hyperedge_top_k, rank="rank").where(F.col("score") >= cfg.hyperedge_threshold)
     return s.join(hyperedges.select(F.col("he_id").alias("item"), "sentence", "entities"), "item").select("q", F.col("item").alias("he_id"), "sentence", "entities", "score", "rank")
 
@@ -172,12 +172,16 @@ def seed_expansion(found: DataFrame, seed: DataFrame, hyperedges: DataFrame) ->
     return found.unionByName(more)
 
 
+def may_rise(ranked: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Ranked passages that can be among a question's top_k after `boost`, which raises a score by hyperedge_entity_boost at most."""
+    return graph.near_top(ranked, cfg.top_k, cfg.hyperedge_entity_boost)
+
+
 def boost(ranked: DataFrame, passages: DataFrame, found: DataFrame, cfg: Config = Config()) -> DataFrame:
     """q, passage_id, matches, score, rank: times 1 + 0.2 min(m, 3) / 3 for m expanded entities in the passage; stable."""
     e = found.select("q", F.explode("entities").alias("entity")).groupBy("q").agg(F.collect_set("entity").alias("expanded"))
-    c = ranked.join(passages.select("passage_id", "text"), "passage_id").join(e, "q", "left")
-    low = F.lower("text")
-    m = F.coalesce(F.size(F.filter("expanded", lambda x: F.contains(low, x))), F.lit(0))
+    c = ranked.join(passages.select("passage_id", F.lower("text").alias("low")), "passage_id").join(e, "q", "left")
+    m = F.coalesce(F.size(F.filter("expanded", lambda x: F.contains(F.col("low"), x))), F.lit(0))
     c = c.withColumn("matches", F.greatest(m, F.lit(0)))
     factor = 1 + (cfg.hyperedge_entity_boost - 1) * F.least(F.col("matches"), F.lit(3)) / 3
     c = c.withColumn("boosted", F.round(F.col("score") * factor, 6))
@@ -204,36 +208,66 @@ def clinical_rerank(questions: DataFrame, ranked: DataFrame, passages: DataFrame
     return encode.top(c, ["q"], 2**31 - 1, tie="passage_id", rank="rank")
 
 
-def dense(questions: DataFrame, passages: DataFrame, k: int | None = None) -> DataFrame:
-    """q, passage_id, score of the passages' hashed vectors."""
-    enc = encode.hashed("word")
-    items = passages.select(F.col("passage_id").alias("item"), enc("text").alias("v"))
-    s = encode.similarities(cut(questions.select("q", enc("text").alias("v"))), items, k=k)
+def encoded(texts: DataFrame, col: str = "text") -> DataFrame:
+    """With the column v, the text's vector; a stored one stays."""
+    return texts if "v" in texts.columns else texts.withColumn("v", encode.hashed("word")(col))
+
+
+def dense(questions: DataFrame, passages: DataFrame, k: int | None = None, least: bool = False) -> DataFrame:
+    """q, passage_id, score by the vectors of questions and passages; with k the best k of each question, with `least` its least similar one too."""
+    items = encoded(passages).select(F.col("passage_id").alias("item"), "v")
+    s = encode.similarities(cut(encoded(questions).select("q", "v")), items, k=k, least=least)
     return s.withColumnRenamed("item", "passage_id")
 
 
-def hybrid(questions, passages, entities, sentence_entities, nodes, edges, hyperedges, cfg: Config = Config()) -> DataFrame:
-    """One struct row a question: ranked passages with scores, the context before the first one, and flags.
-
-    Questions with seeds go through graph search, the others keep a dense pool of 2k; then
-    hyperedges boost the ranking."""
-    s = cut(seeds(questions, entities))
-    one = cut(seed_scores(s))
-    enc = encode.hashed("word")
-    texts = sentence_entities.select(F.col("sentence").alias("item")).distinct()
-    sims = cut(encode.similarities(cut(questions.select("q", enc("text").alias("v"))), texts.withColumn("v", enc("item")), floor=cfg.sentence_floor))
-    active, weights = activate(one, sentence_entities, sims.select("q", F.col("item").alias("sentence"), F.col("score").alias("sim")), cfg)
-    d = cut(dense(questions, passages))
-    ps = passage_scores(d, passages, active, cfg)
-    g = graph_search(one, weights, ps, nodes, edges, cfg)
-    without = questions.select("q").join(one.select("q").distinct(), "q", "left_anti")
-    pool = encode.top(d.join(without, "q", "left_semi"), ["q"], 2 * cfg.top_k, tie="passage_id")
-    ranked = encode.top(g.unionByName(pool.select("q", "passage_id", "score")), ["q"], 2**31 - 1, tie="passage_id", rank="rank")
-    found = cut(hyperedge_retrieve(questions, hyperedges, cfg))
-    best = boost(ranked, passages, found, cfg).where(F.col("rank") <= cfg.top_k)
+def sentence_sims(questions: DataFrame, sentences: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """q, sentence, sim of similarities that reach the floor."""
+    items = encoded(sentences, "sentence").select(F.col("sentence").alias("item"), "v")
+    s = encode.similarities(cut(encoded(questions).select("q", "v")), items, floor=cfg.sentence_floor)
+    return s.select("q", F.col("item").alias("sentence"), F.col("score").alias("sim"))
+
+
+MODES = ("hybrid", "graph", "dense")
+
+
+def retrieve(questions: DataFrame, index: dict, mode: str = "hybrid", cfg: Config = Config()) -> DataFrame:
+    """One row a question: ranked passages with scores, flags, and in hybrid mode the context before the first passage.
+
+    Questions with seed entities go through graph search (activation, passage weights, PageRank);
+    the others, and all in dense mode, are ranked by their vectors, in hybrid mode from a pool of
+    2 top_k.  In hybrid mode hyperedges boost the ranking.  index has the tables of `build_index`."""
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {', '.join(MODES)}, not {mode!r}")
+    passages = index["passages"]
+    questions = questions.select("q", "text")
+    asked = cut(encoded(questions).select("q", "text", "v"))
+    none = asked.select("q").limit(0)
+    # The graph's scores have many ties and may rise by the boost, so more than top_k go on.
+    slack = cfg.hyperedge_entity_boost if mode == "hybrid" else 1.0
+    if mode == "dense":
+        one, ranked = none, dense(asked, passages, cfg.top_k)
+    else:
+        one, ranked = _by_graph(asked, index, cfg, slack)
+    ranked = cut(encode.top(ranked, ["q"], 2**31 - 1, tie="passage_id", rank="rank"))
+    if mode != "hybrid":
+        return results(questions, ranked.where(F.col("rank") <= cfg.top_k), passages, one, none.withColumn("context", F.lit("")))
+    found = cut(hyperedge_retrieve(asked, index["hyperedges"], cfg))
+    best = boost(may_rise(ranked, cfg), passages, found, cfg).where(F.col("rank") <= cfg.top_k)
     return results(questions, best, passages, one, context(found, cfg))
 
 
+def _by_graph(asked: DataFrame, index: dict, cfg: Config, slack: float) -> tuple[DataFrame, DataFrame]:
+    """Seeds, and (q, passage_id, score): by graph search for questions with seeds, by vectors for the others."""
+    one = cut(seed_scores(cut(seeds(asked, index["entities"]))))
+    active, weights = activate(one, index["sentence_entities"], sentence_sims(asked, index["sentences"], cfg), cfg)
+    d = cut(dense(asked, index["passages"], max(cfg.candidate_pool, 2 * cfg.top_k), least=True))
+    g = graph_search(weights, passage_scores(d, index["passages"], active, cfg), index["nodes"], index["edges"], cfg, k=cfg.top_k, slack=slack)
+    without = asked.select("q").join(one.select("q").distinct(), "q", "left_anti")
+    pool = encode.top(d.join(without, "q", "left_semi"), ["q"], 2 * cfg.top_k, tie="passage_id")
+    # A question without seeds has passage weights too; it keeps its dense pool.
+    return one, g.join(without, "q", "left_anti").unionByName(pool.select("q", "passage_id", "score"))
+
+
 def results(questions, best, passages, seed, ctx) -> DataFrame:
     """question rows with sorted_passage, sorted_passage_scores, has_entities, has_hyperedge_context; the context stands before the first passage."""
     b = best.join(passages.select("passage_id", "text"), "passage_id").join(ctx, "q", "left")

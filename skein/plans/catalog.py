@@ -1,10 +1,13 @@
 """Registered queries over the test tables; skein.plans.oracles has their SQL counterparts.
 
-Passages are the distinct English documents, questions the benchmark items, and entities a
-gazetteer of mid-frequency tokens, so that every operator runs offline."""
+Passages are the distinct documents, questions the benchmark items, and entities a gazetteer
+of mid-frequency tokens, so that every operator runs offline.  Searches that walk the graph take
+as questions the items whose id is divisible by 20, against the whole index; the others take all."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +21,10 @@ from skein.operators import graph as G
 from skein.operators import hypergraph as H
 from skein.operators import incremental as I
 from skein.operators import retrieve as R
-from skein.sources.store import cut
+from skein.sources.store import cut, shared_dir
 
-from .oracles import ORACLES  # noqa: F401
+from .index import build_index
+from .oracles import NOTES, ORACLES  # noqa: F401
 
 CFG = R.Config()
 QUERIES: dict = {}
@@ -34,8 +38,8 @@ def query(f):
 class Tables:
     """Frames that several queries share; those used more than once are written once."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir, self.made = spark, sf_dir, {}
+    def __init__(self, spark: SparkSession, sf_dir: str, every: int = 1):
+        self.spark, self.dir, self.made, self.every = spark, sf_dir, {}, every
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -52,7 +56,7 @@ class Tables:
     sentence_entities = property(lambda s: s._once("se", lambda: C.sentence_entities(s.sentences, s.lexicon)))
     entity_edges = property(lambda s: s._once("ee", lambda: C.entity_edges(s.passages, s.passage_entities)))
     hyperedges = property(lambda s: s._once("he", lambda: H.build(s.sentence_entities)))
-    questions = property(lambda s: s._once("q", lambda: s.read("benchmark").select(F.col("item_id").alias("q"), "text")))
+    questions = property(lambda s: s._once("q", lambda: s.read("benchmark").where(F.col("item_id") % s.every == 0).select(F.col("item_id").alias("q"), "text")))
     seeds = property(lambda s: s._once("seeds", lambda: R.seeds(s.questions, s.lexicon)))
     seed_scores = property(lambda s: s._once("seed_scores", lambda: R.seed_scores(s.seeds)))
     found = property(lambda s: s._once("found", lambda: R.hyperedge_retrieve(s.questions, s.hyperedges, CFG)))
@@ -61,15 +65,21 @@ class Tables:
 
     @property
     def sims(self) -> DataFrame:
-        enc = E.hashed("word")
-        texts = self.sentence_entities.select(F.col("sentence").alias("item")).distinct()
-        q = self.questions.select("q", enc("text").alias("v"))
-        return self._once("sims", lambda: E.similarities(cut(q), texts.withColumn("v", enc("item")), floor=CFG.sentence_floor).select("q", F.col("item").alias("sentence"), F.col("score").alias("sim")))
+        return self._once("sims", lambda: R.sentence_sims(self.questions, self.sentence_entities.select("sentence").distinct(), CFG))
+
+    @property
+    def activated(self) -> tuple[DataFrame, DataFrame]:
+        if "active" not in self.made:
+            self.made["active"] = R.activate(self.seed_scores, self.sentence_entities, self.sims, CFG)
+        return self.made["active"]
 
     @property
     def scored(self) -> DataFrame:
-        active = self.seed_scores.select("q", "entity", "score", F.lit(1).alias("tier"))
-        return self._once("scored", lambda: R.passage_scores(cut(R.dense(self.questions, self.passages)), self.passages, active, CFG))
+        d = lambda: R.dense(self.questions, self.passages, CFG.candidate_pool, least=True)
+        return self._once("scored", lambda: R.passage_scores(cut(d()), self.passages, self.activated[0], CFG))
+
+    def index(self) -> dict:
+        return build_index(self.spark, self.read("documents"), f"{shared_dir(self.spark)}/index-{uuid.uuid4().hex}")
 
 
 def _vectors(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -102,7 +112,7 @@ def seed_entity_argmax(spark, sf_dir):
 
 @query
 def passage_dedup_ids(spark, sf_dir):
-    p = C.passages(Tables(spark, sf_dir).read("documents"), None)
+    p = C.passages(Tables(spark, sf_dir).read("documents"))
     return p.select("passage_id", F.length("text").cast("long").alias("n_chars"))
 
 
@@ -111,22 +121,27 @@ def sentence_split(spark, sf_dir):
     return Tables(spark, sf_dir).sentences.select("passage_id", "sentence")
 
 
+def _notes(t: Tables) -> DataFrame:
+    """doc_id, text: every document with a note behind it, since the invented prose has no medical words to find."""
+    note = F.get(F.array(*map(F.lit, NOTES)), F.pmod("doc_id", F.lit(len(NOTES))).cast("int"))
+    return t.read("documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), note).alias("text"))
+
+
 @query
 def keyword_entities(spark, sf_dir):
-    d = Tables(spark, sf_dir).read("documents").where("lang = 'en'")
+    d = _notes(Tables(spark, sf_dir))
     return d.select("doc_id", F.array_join(T.keyword_entities(F.col("text")), ",").alias("keywords"))
 
 
 @query
 def typed_entities(spark, sf_dir):
-    d = Tables(spark, sf_dir).read("documents").where("lang = 'en'")
+    d = _notes(Tables(spark, sf_dir))
     return d.select("doc_id", F.explode(T.typed_entities(F.col("text"))).alias("x")).select("doc_id", F.col("x.text").alias("entity"), F.col("x.type").alias("type"))
 
 
 @query
 def dictionary_entities(spark, sf_dir):
-    q = Tables(spark, sf_dir).questions
-    return q.select("q", F.array_join(T.dictionary_entities(F.col("text")), ",").alias("entities"))
+    return _notes(Tables(spark, sf_dir)).select("doc_id", F.array_join(T.dictionary_entities(F.col("text")), ",").alias("entities"))
 
 
 @query
@@ -187,7 +202,11 @@ def score_stats(spark, sf_dir):
 @query
 def connected_components(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return G.components(t.nodes, t.edges).groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes"))
+    # Passages and the hyperedges of their sentences.
+    e = H.passage_hyperedges(t.hyperedges, t.sentences).select(F.col("passage_id").alias("src"), F.concat(F.lit("hyperedge-"), "he_id").alias("dst"), F.lit(1.0).alias("weight"))
+    nodes = t.passages.select(F.col("passage_id").alias("id")).unionByName(t.hyperedges.select(F.concat(F.lit("hyperedge-"), "he_id").alias("id")))
+    c = G.components(nodes, e).groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes"))
+    return c.groupBy("n_nodes").agg(F.count(F.lit(1)).alias("n_components"), F.min("component").alias("first"))
 
 
 @query
@@ -256,44 +275,66 @@ def activation_one_hop(spark, sf_dir):
     one = t.seed_scores.where("pos = 1")
     active, weights = R.activate(one, t.sentence_entities, t.sims, CFG)
     out = active.join(weights, ["q", "entity"], "full")
-    return out.select("q", "entity", F.round("score", 6).alias("score"), "tier", F.round("weight", 6).alias("weight"))
+    return out.select("q", "entity", F.round("score", 6).alias("score"), "tier", F.round("weight", 4).alias("weight"))
 
 
 @query
 def activation_all_seeds(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    active, weights = R.activate(t.seed_scores, t.sentence_entities, t.sims, CFG)
-    return active.join(weights, ["q", "entity"], "full").select("q", "entity", F.round("score", 6).alias("score"), "tier", F.round("weight", 6).alias("weight"))
+    active, weights = Tables(spark, sf_dir).activated
+    return active.join(weights, ["q", "entity"], "full").select("q", "entity", F.round("score", 6).alias("score"), "tier", F.round("weight", 4).alias("weight"))
 
 
 @query
 def passage_scores(spark, sf_dir):
-    return Tables(spark, sf_dir).scored
+    return Tables(spark, sf_dir, 20).scored
+
+
+def _top_ten(pr: DataFrame) -> DataFrame:
+    return E.top(pr, ["q"], 10, tie="passage_id", rank="rank")
 
 
 @query
 def ppr_passages(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    w = t.seed_scores.select("q", "entity", F.col("score").alias("weight"))
-    return E.top(R.graph_search(None, w, t.scored, t.nodes, t.edges, CFG), ["q"], 10, tie="passage_id", rank="rank")
+    """Graph search: spreading activation, passage weights, PageRank."""
+    t = Tables(spark, sf_dir, 20)
+    return _top_ten(R.graph_search(t.activated[1], t.scored, t.nodes, t.edges, CFG, k=10))
 
 
 @query
 def ppr_unified(spark, sf_dir):
-    t = Tables(spark, sf_dir)
+    """As ppr_passages, on the graph merged with the hypergraph."""
+    t = Tables(spark, sf_dir, 20)
     edges = cut(H.merge_with_graph(t.edges, t.hyperedges, H.incidence(t.hyperedges), H.passage_hyperedges(t.hyperedges, t.sentences), by_text=True))
-    reset = t.seed_scores.select("q", node_id("entity", F.col("entity")).alias("id"), F.col("score").alias("w"))
+    reset = t.activated[1].select("q", node_id("entity", F.col("entity")).alias("id"), F.col("weight").alias("w"))
+    reset = reset.unionByName(t.scored.select("q", F.col("passage_id").alias("id"), F.col("score").alias("w")))
     reset = reset.unionByName(t.found.select("q", F.concat(F.lit("hyperedge-"), "he_id").alias("id"), (F.col("score") * CFG.hyperedge_node_weight).alias("w")))
-    pr = G.pagerank(H.merge_nodes(t.nodes, t.hyperedges), edges, reset, CFG.damping, 5)
-    pr = pr.where(F.col("id").startswith("passage-")).select("q", F.col("id").alias("passage_id"), F.round("score", 6).alias("score"))
-    return E.top(pr, ["q"], 10, tie="passage_id", rank="rank")
+    pr = G.pagerank(H.merge_nodes(t.nodes, t.hyperedges), edges, reset, CFG.damping, kind="passage", k=10)
+    return _top_ten(pr.select("q", F.col("id").alias("passage_id"), F.round("score", 6).alias("score")))
+
+
+def _rows(results: DataFrame) -> DataFrame:
+    """One row for each question and ranked passage."""
+    both = F.arrays_zip("sorted_passage", "sorted_passage_scores")
+    r = results.select("q", "has_entities", "has_hyperedge_context", F.posexplode(both).alias("pos", "x"))
+    return r.select("q", (F.col("pos") + 1).alias("rank"), F.col("x.sorted_passage").alias("passage"), F.col("x.sorted_passage_scores").alias("score"), "has_entities", "has_hyperedge_context")
 
 
 @query
 def hybrid_retrieval(spark, sf_dir):
+    t = Tables(spark, sf_dir, 20)
+    return _rows(R.retrieve(t.questions, t.index(), "hybrid", CFG))
+
+
+@query
+def graph_retrieval(spark, sf_dir):
+    t = Tables(spark, sf_dir, 20)
+    return _rows(R.retrieve(t.questions, t.index(), "graph", CFG))
+
+
+@query
+def dense_retrieval(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    out = R.hybrid(t.questions, t.passages, t.lexicon.select("entity"), t.sentence_entities, t.nodes, t.edges, t.hyperedges, CFG)
-    return out.select("q", F.size("sorted_passage").alias("n_passages"), "has_entities", "has_hyperedge_context", "sorted_passage", "sorted_passage_scores")
+    return _rows(R.retrieve(t.questions, {"passages": t.passages}, "dense", CFG))
 
 
 @query
@@ -304,7 +345,7 @@ def clinical_rerank(spark, sf_dir):
 
 @query
 def query_expansion(spark, sf_dir):
-    d = Tables(spark, sf_dir).read("documents").where("lang = 'en'")
+    d = _notes(Tables(spark, sf_dir))
     return d.select("doc_id", T.expand_query(F.col("text")).alias("expanded"))
 
 
@@ -325,7 +366,7 @@ def answer_parse_yesno(spark, sf_dir):
 
 @query
 def normalize_answer(spark, sf_dir):
-    d = Tables(spark, sf_dir).read("documents").where("lang = 'en'")
+    d = Tables(spark, sf_dir).read("documents")
     return d.select("doc_id", T.normalize_answer(F.col("text")).alias("normalized"))
 
 

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder in spark.checkpoint.dir, else the context's checkpoint folder.
+
+    Where neither is set, a temporary folder serves a master of one machine (as in tests); on a cluster that raises."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="skein-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    if where:
+        return where
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="skein-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -75,6 +83,18 @@ def write_results(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").json(path)
 
 
+def write_run(results: DataFrame, summary: DataFrame, path: str) -> None:
+    """Results and their summary of one run, as JSON under its folder."""
+    results.write.mode("overwrite").json(f"{path}/results")
+    summary.write.mode("overwrite").json(f"{path}/summary")
+
+
+def run_name(dataset: str, sets: tuple = (), mixed: bool = False, now: datetime | None = None) -> str:
+    """Name of a run's folder: data set, the question sets of a mixed run, and the time."""
+    at = (now or datetime.now()).strftime("%Y%m%d_%H%M%S")
+    return f"{dataset}_mirage_{'_'.join(sets) or 'unknown'}_{at}" if mixed else f"{dataset}_{at}"
+
+
 def namespace(dataset: str, known: list[str], run: str = "default") -> str:
     """Index of a data set: yes/no sets reuse an existing multiple-choice index."""
     for base in ("medqa",):
