@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.text import first_filled, norm, strip
@@ -150,7 +150,7 @@ def concat_corpora(*corpora: DataFrame) -> DataFrame:
 
 def id_overlap(ids: DataFrame, corpus: DataFrame, key: str) -> DataFrame:
     """pmid, found: by any of the four key formats."""
-    forms = ids.select("pmid", F.explode(F.array(F.col("pmid"), F.concat(F.lit("PMID:"), "pmid"), F.concat(F.lit("pubmed_"), "pmid"), F.concat(F.lit("pmid_"), "pmid"))).alias("form"))
+    forms = ids.select("pmid", F.explode(F.array(F.col("pmid"), F.concat(F.lit("PMID:"), "pmid"), F.concat(F.lit("pubmed_"), "pmid"), F.concat(F.lit("PubMed_"), "pmid"))).alias("form"))
     hit = forms.join(corpus.select(F.col(key).alias("form")).distinct(), "form").select("pmid").distinct()
     return ids.select("pmid").distinct().join(hit.withColumn("found", F.lit(True)), "pmid", "left").select("pmid", F.coalesce("found", F.lit(False)).alias("found"))
 
@@ -175,4 +175,24 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def last_rows(df: DataFrame, order: str, n: int) -> DataFrame:
-    return df.withColumn("_r", F.row_number().over(Window.orderBy(F.col(order).desc()))).where(F.col("_r") <= n).drop("_r")
+    """The n rows that stand last; each task hands on n at most."""
+    return df.orderBy(F.col(order).desc()).limit(n)
+
+
+def legacy_medqa(spark: SparkSession, path: str) -> DataFrame:
+    """pos, question (options in the file's order), answer text, answer_idx and phrases of a JSON array."""
+    item = "struct<question:string,options:map<string,string>,answer_idx:string,metamap_phrases:array<string>>"
+    raw = spark.read.option("wholetext", True).text(path)
+    r = raw.select(F.posexplode(F.from_json("value", f"array<{item}>")).alias("pos", "r"))
+    lines = F.transform(F.map_entries("r.options"), lambda e: F.concat(e["key"], F.lit(". "), e["value"], F.lit("\n")))
+    question = F.concat(F.col("r.question"), F.lit("\n"), F.array_join(lines, ""))
+    return r.select("pos", question.alias("question"), F.try_element_at("r.options", F.col("r.answer_idx")).alias("answer"), F.col("r.answer_idx").alias("answer_idx"), F.coalesce("r.metamap_phrases", F.array().cast("array<string>")).alias("metamap_phrases"))
+
+
+def id_in_text(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """pmid, found: does the number stand in any text; digits of the texts are joined with the ids, windows of longer numbers included."""
+    sizes = [r[0] for r in ids.select(F.length("pmid")).distinct().collect()]  # lengths of numbers, few
+    runs = texts.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\d+"), 0))).alias("n")).distinct()
+    parts = F.flatten(F.transform(F.array(*map(F.lit, sizes or [1])), lambda k: F.when(F.length("n") >= k, F.transform(F.sequence(F.lit(1), F.length("n") - k + 1), lambda i: F.substring(F.col("n"), i, k))).otherwise(F.array().cast("array<string>"))))
+    hit = runs.select(F.explode(parts).alias("pmid")).distinct()
+    return ids.select("pmid").distinct().join(hit.withColumn("found", F.lit(True)), "pmid", "left").select("pmid", F.coalesce("found", F.lit(False)).alias("found"))

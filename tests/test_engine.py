@@ -1,3 +1,6 @@
+import json
+import re
+
 import numpy as np
 import pytest
 
@@ -6,6 +9,7 @@ from pyspark.sql import functions as F
 from skein.operators import answer as A
 from skein.operators import corpus as C
 from skein.operators import encode as E
+from skein.operators import evaluate as V
 from skein.operators import extract as X
 from skein.operators import graph as G
 from skein.operators import hypergraph as H
@@ -118,11 +122,11 @@ def graph_of(spark):
     return n, nodes, e, edges
 
 
-@pytest.mark.parametrize("broadcast_edges", [10**6, 0])
-def test_pagerank(spark, broadcast_edges):
+@pytest.mark.parametrize("task_bytes", [G.TASK_BYTES, 0])
+def test_pagerank(spark, task_bytes):
     n, nodes, e, edges = graph_of(spark)
     reset = spark.createDataFrame([(1, "passage-00", 3.0), (1, "passage-01", 1.0), (1, "passage-02", -5.0), (2, "passage-05", float("nan")), (2, "passage-06", 2.0)], "q int, id string, w double")
-    got = {(r.q, r.id): r.score for r in G.pagerank(nodes, edges, reset, steps=12, broadcast_edges=broadcast_edges).collect()}
+    got = {(r.q, r.id): r.score for r in G.pagerank(nodes, edges, reset, tolerance=1e-9 if task_bytes == 0 else G.TOLERANCE, task_bytes=task_bytes).collect()}
     m = np.zeros((n, n))
     for a, b in e:
         m[a, b] += 1 + (a * b) % 3
@@ -132,12 +136,13 @@ def test_pagerank(spark, broadcast_edges):
         start = np.zeros(n)
         for k, x in r.items():
             start[k] = x
-        v = start.copy()
-        for _ in range(12):
-            v = 0.85 * v @ m + 0.15 * start
+        v = np.linalg.solve(np.eye(n) - 0.85 * m.T, 0.15 * start)
         v /= v.sum()
         for i in range(n):
-            assert got.get((q, f"passage-{i:02d}"), 0) == pytest.approx(v[i], abs=1e-12)
+            assert got.get((q, f"passage-{i:02d}"), 0) == pytest.approx(v[i], abs=1e-8)
+        best = sorted(round(x, 6) for x in v)[-3]
+        few = G.pagerank(nodes.withColumn("kind", F.lit("passage")), edges, reset, kind="passage", k=3, slack=1.2, task_bytes=task_bytes, tolerance=1e-9).where(F.col("q") == q).collect()
+        assert {r.id for r in few} == {f"passage-{i:02d}" for i in range(n) if round(v[i], 6) * 1.2 >= best - 1e-12}
         assert sum(x for (k, _), x in got.items() if k == q) == pytest.approx(1)
 
 
@@ -195,3 +200,122 @@ def test_incremental(spark, tmp_path):
     assert rows(c.get(keys), "key", "value") == [("k", "2"), ("z", None)]
     c.clear()
     assert rows(c.exists(keys), "key", "hit") == [("k", False), ("z", False)]
+
+
+def test_running_sums(spark):
+    rng = np.random.default_rng(8)
+    data = [(int(g), int(i), float(x)) for i, (g, x) in enumerate(zip(rng.integers(0, 3, 200), rng.integers(0, 9, 200)))]
+    df = spark.createDataFrame(data, "g int, i int, x double").repartition(5)
+    got = {r.i: (r.running, r.g) for r in A.running_mean(df, "x", "i", "g").collect()}
+    for g, i, x in data:
+        own = [y for h, j, y in data if h == g and j <= i]
+        assert got[i] == (pytest.approx(sum(own) / len(own), abs=1e-6), g)
+    whole = {r.i: r.running for r in A.running_mean(df, "x", "i").collect()}
+    assert whole[199] == pytest.approx(sum(x for _, _, x in data) / 200, abs=1e-6)
+
+
+def test_gold_found(spark):
+    texts = ["the start " + "x" * 200 + " end", "short", "", None, "abcdefghijklmnopqrstuvwxyz0123456789" * 5]
+    items = ["x" * 150, "hor", "long text with short inside of it, and more", None, "nothing of these in here at all, really none", "x abcdefghijklmnopqrstuvwxyz0123456789" + "abcdefghijklmnopqrstuvwxyz0123456789" * 4]
+    t = spark.createDataFrame([(x,) for x in texts], "text string")
+    i = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    want = {k: any(t and x is not None and (x[:100] in t or t[:100] in x) for t in texts) for k, x in enumerate(items)}
+    assert {r.item_id: r.found for r in A.gold_found(i, t).collect()} == want
+    assert {r.item_id: r.found for r in A.gold_found(i, t, block_bytes=1).collect()} == want and sum(want.values()) == 4
+
+
+def test_evaluate(spark, tmp_path):
+    data = [{"question": "q", "pred_answer": " A ", "gold_answer": "a", "dataset": "medqa"}, {"question": "q", "pred_answer": "The heart.", "gold_answer": "heart", "dataset": "open"}, {"question": "q", "pred_answer": "", "gold_answer": "x", "dataset": "open"}, {"question": "q", "pred_answer": "B", "gold_answer": None, "dataset": "medqa"}]
+    (tmp_path / "p.json").write_text(json.dumps(data))
+    p = V.predictions(spark, str(tmp_path / "p.json"))
+    got = {r.idx: (r.llm_accuracy, r.contain_accuracy) for r in V.evaluate(p).collect()}
+    assert got == {0: (1.0, 1.0), 1: (1.0, 1.0), 2: (0.0, 0.0), 3: (0.0, 0.0)}  # as an article `a` is left out, and nothing is in everything
+
+    def broken(system, user):
+        raise OSError("no network")
+
+    assert {r.idx: r.llm_accuracy for r in V.evaluate(p, broken).collect()} == {0: 1.0, 1: 0.0, 2: 0.0, 3: 0.0}
+    V.write_evaluation(V.evaluate(p), str(tmp_path / "out"))
+    one = spark.read.json(str(tmp_path / "out/evaluation_results")).first()
+    assert (one.llm_accuracy, one.contain_accuracy) == (0.5, 0.5)
+    assert V.aggregate(V.evaluate(p.limit(0))).first().llm_accuracy == 0
+    r = spark.createDataFrame([("Yes", "yes "), ("No", None)], "raw string, parsed string")
+    assert V.mismatches(r, "raw", "parsed").count() == 1
+
+
+def test_reports(spark):
+    q = spark.createDataFrame([("the patient has an infection",), ("rational choice",), ("what is it",)], "text string")
+    assert {r.bucket: r.n for r in V.topic_buckets(q).collect()} == {"medical": 1, "general": 1, "other": 1}
+    c = spark.createDataFrame([("P<0.05 was found",), ("nothing here",)], "text string")
+    assert [(r.has_numbers, r.has_stats, r.has_results) for r in V.presence_flags(c).collect()] == [(True, True, True), (False, False, False)]
+    log = "Retrieving:  10%|#  | 10/100 [01:00<09:00]\rRetrieving:  50%|##| 50/100 [1:40:00<1:00]\nEntity embeddings: (123, 768) Passage embeddings: (45, 768)"
+    logs = spark.createDataFrame([("a", log), ("b", "none")], "log string, text string")
+    got = {r.log: r for r in V.progress(logs).collect()}
+    assert (got["a"].percent, got["a"].done, got["a"].elapsed, got["a"].per_question, got["a"].left) == (50, 50, 6000, 120.0, 6000.0)
+    assert got["b"].done is None
+    sizes = {r.log: r for r in V.graph_sizes(logs).collect()}
+    assert (sizes["a"].entities, sizes["a"].passages, sizes["a"].sentences) == (123, 45, None)
+    f = spark.createDataFrame([(1, "Q\nA. x"), (2, "Options: y"), (3, "none")], "i int, question string")
+    assert V.has_options(f, "i", 2).first()[0] and not V.has_options(f, "i").first()[0]
+    assert V.timed({"x": lambda: 5})["x"][0] == 5
+
+
+def test_model_extractors(spark):
+    texts = spark.createDataFrame([(1, "acute lung cancer"), (2, "fails"), (3, None), (4, "")], "doc int, text string")
+
+    def model(batch):
+        if "fails" in batch:
+            raise MemoryError
+        out = []
+        for t in batch:
+            at = [m.span() for m in re.finditer(r"\S+", t)]
+            out.append((at, [[5.0, 0.0, 0.0] if t[a:b] == "acute" else [0.0, 5.0, 0.0] if t[a:b] == "lung" else [0.0, 0.0, 5.0] for a, b in at]))
+        return out
+
+    tokens = X.classified(texts, model, ["O", "B-D", "I-D"])
+    got = rows(X.bio_decode(tokens, texts), "doc", "text", "type", "score")
+    assert got == [(1, "lung cancer", "D", pytest.approx(np.exp(5) / (np.exp(5) + 2), abs=1e-6))]
+    e = spark.createDataFrame([(1, " Lung##s ", "D"), (1, "ab", "D"), (2, "\u0120heart", "A"), (2, "\u2581brain", None)], "id int, word string, entity_group string")
+    m = X.model_entities(e)
+    assert rows(m, "id", "text") == [(1, "lungs"), (2, "heart")]
+    t = spark.createDataFrame([(1, "x"), (2, "x"), (3, "pain and fever")], "id int, text string")
+    more = spark.createDataFrame([(1, "asthma")], "id int, text string")
+    assert {r.id: r.entities for r in X.union_entities(t, m, more).collect()} == {1: ["asthma", "lungs"], 2: ["heart"], 3: ["fever", "pain"]}
+    c = spark.createDataFrame([(1, "The Amino Acid of genes; cellular")], "id int, text string")
+    assert rows(X.category_terms(c), "category", "term") == [("genetics", "genes"), ("molecules", "amino acid")]
+    assert X.categories(spark).count() == sum(map(len, X.CATEGORIES.values()))
+    found = spark.createDataFrame([("DISEASE", "asthma"), ("DISEASE", "flu")], "type string, text string")
+    assert [(r.type, r.n, r.examples) for r in X.type_counts(found).collect()] == [("DISEASE", 2, ["asthma", "flu"])]
+    keep = spark.createDataFrame([("CHEMICAL", " Aspirin"), ("GENE", "brca"), ("DISEASE", "flu"), ("DISEASE", "ms")], "label string, text string")
+    assert rows(X.keep_entities(keep), "text") == [("aspirin",), ("flu",)]
+
+
+def test_incremental_writes(spark):
+    store = spark.createDataFrame([("passage-1", "old", [0.0])], "hash_id string, text string, embedding array<double>")
+    new = I.insert_texts(store, spark.createDataFrame([("old",), ("new",), ("new",)], "text string"), E.hashed("word"), "passage")
+    assert rows(new, "text") == [("new",), ("old",)]
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id int, text string")
+    seen, m = I.process_batches(docs, spark.createDataFrame([], "doc_hash string, indexed_at timestamp"), lambda d: d.count())
+    assert (seen, I.manifest_stats(m).first().n_docs, I.clear(m).count()) == (2, 2, 0)
+    again, _ = I.process_batches(docs, m, lambda d: d.count())
+    assert again == 0
+
+
+def test_hypergraph_lookups(spark):
+    h = H.build(spark.createDataFrame([("a sentence of two entities", e) for e in ("a1", "b1")], "sentence string, entity string"))
+    inc = H.incidence(h)
+    he = h.first().he_id
+    ids = spark.createDataFrame([(he,), ("none",)], "he_id string")
+    assert {r.he_id: r.score for r in H.lookup(h, ids).collect()} == {he: 1.0, "none": 0.0}
+    assert H.entities_of(inc, ids).count() == 2 and H.hyperedges_of(inc, inc.limit(1)).count() == 1
+    assert H.bipartite_edges(h, inc).count() == 2
+    p = spark.createDataFrame([("p", "x a sentence of two entities y"), ("r", "no")], "passage_id string, text string")
+    assert rows(H.passage_hyperedges_exact(h, p), "passage_id", "he_id") == [("p", he)]
+
+
+def test_logs_and_speedups(spark):
+    logs = spark.createDataFrame([("a", "took 4.0s took 2.0s"), ("b", "took 1.0s")], "log string, text string")
+    means = A.timing_means(logs, r"took ([\d.]+)s", 1)
+    assert {r.log: r.speedup for r in A.speedups(means, "log").collect()} == {"a": 1.0, "b": 2.0}
+    d = spark.createDataFrame([("x", i) for i in range(5)], "k string, i int")
+    assert rows(A.first_examples(d, "k", "i", 2), "i") == [(0,), (1,)]

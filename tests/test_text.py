@@ -56,3 +56,8 @@ def test_ids(spark):
     assert one(spark, "abc", lambda c: node_id("entity", c)) == "entity-" + hashlib.sha256(b"entity-abc").hexdigest()
     got = one(spark, "s", lambda c: hyperedge_id(c, F.array(F.lit("b"), F.lit("a"))))
     assert got == hashlib.md5(b"s|a|b").hexdigest()[:16]
+
+
+def test_keyword_relevance(spark):
+    row = spark.createDataFrame([("Which kidney disease? kidney", "The KIDNEY is an organ; " + "x" * 200 + "disease")], "q string, p string")
+    assert row.select(T.keyword_relevance(F.col("q"), F.col("p")).alias("n")).first().n == 2
