@@ -17,9 +17,46 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Prompt texts and the reader's failure text.
 PROMPTS = {
-    "pubmedqa": "You are a medical expert. Answer the question based on the provided context.\n\nIMPORTANT: You MUST respond with EXACTLY one of these three words: Yes, No, or Maybe\nDo NOT add any punctuation, explanation, or other text.\n\nExample responses:\n- Yes\n- No  \n- Maybe",
-    "bioasq": "You are a medical expert. Answer the yes/no question based on the provided context.\n\nIMPORTANT: You MUST respond with EXACTLY one of these two words: Yes or No\nDo NOT add any punctuation, explanation, or other text.\n\nExample responses:\n- Yes\n- No",
-    "choice": 'You are a medical expert. Answer the multiple-choice question based on the provided context.\n\nCRITICAL INSTRUCTIONS:\n1. You MUST respond with ONLY ONE LETTER: A, B, C, or D\n2. Do NOT write "Answer: A" - just write "A"\n3. Do NOT add any explanation, reasoning, or other text\n4. Do NOT write "Thought:" or anything else\n\nCORRECT examples:\n- A\n- B\n- C\n- D\n\nINCORRECT examples (DO NOT DO THIS):\n- Answer: A\n- Thought: ... Answer: A\n- The answer is A\n- A.\n- Option A',
+    "pubmedqa": """\
+You are a medical expert. Answer the question based on the provided context.
+
+IMPORTANT: You MUST respond with EXACTLY one of these three words: Yes, No, or Maybe
+Do NOT add any punctuation, explanation, or other text.
+
+Example responses:
+- Yes
+- No  
+- Maybe""",
+    "bioasq": """\
+You are a medical expert. Answer the yes/no question based on the provided context.
+
+IMPORTANT: You MUST respond with EXACTLY one of these two words: Yes or No
+Do NOT add any punctuation, explanation, or other text.
+
+Example responses:
+- Yes
+- No""",
+    "choice": """\
+You are a medical expert. Answer the multiple-choice question based on the provided context.
+
+CRITICAL INSTRUCTIONS:
+1. You MUST respond with ONLY ONE LETTER: A, B, C, or D
+2. Do NOT write "Answer: A" - just write "A"
+3. Do NOT add any explanation, reasoning, or other text
+4. Do NOT write "Thought:" or anything else
+
+CORRECT examples:
+- A
+- B
+- C
+- D
+
+INCORRECT examples (DO NOT DO THIS):
+- Answer: A
+- Thought: ... Answer: A
+- The answer is A
+- A.
+- Option A""",
 }
 FORMATS = {"pubmedqa": "Answer with ONLY: Yes, No, or Maybe", "bioasq": "Answer with ONLY: Yes or No", "choice": "YOUR RESPONSE MUST BE EXACTLY ONE LETTER: A, B, C, or D (nothing else)"}
 FAILED = "Error: Could not get LLM response"
