@@ -8,7 +8,7 @@ targets (content) it has there, and how often each.
 
 * The presentation importance of an element on m pages is the entropy of its child sequences
   to the base m; the content importance is the entropy of its own contents.  Both are 1 for an
-  element on a single page, and 1 / m is added for what m pages can't tell.
+  element on a single page, and 2 / m is added for what m pages can't tell.
 * The composite importance of an element with k child sequences is (1 - 0.9^k) times its
   presentation importance and 0.9^k times the mean of its own content importance and the
   composite importance of its children, each weighted by its pages.  It is composed from the
@@ -316,7 +316,7 @@ def _unpacked(it):
 def _entropy(nlogn, pages):
     """Entropy to the base of the number of pages, and what so many pages can't tell."""
     e = F.when(pages > 1, (F.log(pages) - nlogn / pages) / F.log(pages)).otherwise(1.0)
-    return F.least(F.lit(1.0), e + 1 / pages)
+    return F.least(F.lit(1.0), e + 2 / pages)
 
 
 def style_tree(pages: DataFrame) -> DataFrame:

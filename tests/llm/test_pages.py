@@ -44,7 +44,7 @@ def tree_by_hand(pages):
         n = len(values)
         if n == 1:
             return 1.0
-        return min(1.0, -sum(c / n * math.log(c / n, n) for c in Counter(values).values()) + 1 / n)
+        return min(1.0, -sum(c / n * math.log(c / n, n) for c in Counter(values).values()) + 2 / n)
 
     out = {}
 
