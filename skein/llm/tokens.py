@@ -63,7 +63,7 @@ _powers = _Cache()
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _powers.get("n", 0) < n:
+    if _powers.get("n", -1) < n:
         n = max(n, 1 << 20)
         for key, base in (("p", _P), ("i", _PINV)):
             a = np.full(n + 1, base, np.uint64)
