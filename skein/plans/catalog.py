@@ -27,6 +27,8 @@ from .index import build_index
 from .oracles import NOTES, ORACLES  # noqa: F401
 
 CFG = R.Config()
+#: Products of rounded numbers can end in an exact half; this settles it the same way in every engine.
+HALF = 1e-9
 QUERIES: dict = {}
 
 
@@ -275,13 +277,13 @@ def activation_one_hop(spark, sf_dir):
     one = t.seed_scores.where("pos = 1")
     active, weights = R.activate(one, t.sentence_entities, t.sims, CFG)
     out = active.join(weights, ["q", "entity"], "full")
-    return out.select("q", "entity", F.round("score", 6).alias("score"), "tier", F.round("weight", 4).alias("weight"))
+    return out.select("q", "entity", F.round(F.col("score") + HALF, 6).alias("score"), "tier", F.round(F.col("weight") + HALF, 6).alias("weight"))
 
 
 @query
 def activation_all_seeds(spark, sf_dir):
     active, weights = Tables(spark, sf_dir).activated
-    return active.join(weights, ["q", "entity"], "full").select("q", "entity", F.round("score", 6).alias("score"), "tier", F.round("weight", 4).alias("weight"))
+    return active.join(weights, ["q", "entity"], "full").select("q", "entity", F.round(F.col("score") + HALF, 6).alias("score"), "tier", F.round(F.col("weight") + HALF, 6).alias("weight"))
 
 
 @query

@@ -154,12 +154,12 @@ oracle("entity_boost_rerank", "SELECT q, passage_id, matches, boosted AS score,
 oracle("hyperedge_context", f"SELECT q, '{HEADER.strip()}' || chr(10) || string_agg(rank || '. ' || CASE WHEN length(sentence) > 200 THEN left(sentence, 200) || '...' ELSE sentence END || chr(10), '' ORDER BY rank) AS context FROM hf WHERE rank <= 5 GROUP BY 1")
 oracle(
     "activation_one_hop",
-    "SELECT q, entity, round(coalesce(n.score, o.score), 6) AS score, CAST(CASE WHEN n.q IS NULL THEN 1 ELSE 2 END AS INT) AS tier, round(coalesce(o.score, 0) + coalesce(n.total, 0), 4) AS weight FROM one o FULL JOIN nw n USING (q, entity)",
+    "SELECT q, entity, round(coalesce(n.score, o.score) + 1e-9::DOUBLE, 6) AS score, CAST(CASE WHEN n.q IS NULL THEN 1 ELSE 2 END AS INT) AS tier, round(coalesce(o.score, 0) + coalesce(n.total, 0) + 1e-9::DOUBLE, 6) AS weight FROM one o FULL JOIN nw n USING (q, entity)",
     "one AS (SELECT q, entity, score FROM ss WHERE pos = 1), "
     "cl AS (SELECT q, sentence, sim, seed_score FROM (SELECT q, sentence, sim, one.score AS seed_score, row_number() OVER (PARTITION BY q ORDER BY sim DESC, sentence) AS r FROM one JOIN se USING (entity) JOIN sm USING (q, sentence) WHERE one.score >= 0.3) WHERE r <= 5), "
     "nw AS (SELECT q, entity, sum(seed_score * sim) AS total, min(seed_score * sim) AS score FROM cl JOIN se USING (sentence) WHERE seed_score * sim >= 0.3 GROUP BY 1, 2)",
 )
-oracle("activation_all_seeds", "SELECT q, entity, round(score, 6) AS score, tier, round(weight, 4) AS weight FROM aw")
+oracle("activation_all_seeds", "SELECT q, entity, round(score + 1e-9::DOUBLE, 6) AS score, tier, round(weight + 1e-9::DOUBLE, 6) AS weight FROM aw")
 oracle("passage_scores", "SELECT q, passage_id, score FROM sc", every=20)
 
 
