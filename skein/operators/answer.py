@@ -169,38 +169,18 @@ def running_mean(rows: DataFrame, col: str, order: str, by: str | None = None) -
 def gold_found(items: DataFrame, texts: DataFrame, prefix: int = 100, block_bytes: int = 16 << 20) -> DataFrame:
     """item_id, found: does any text contain the item's first characters, or the item a text's.
 
-    A string that holds another holds its first characters too, at some place: so both sides
-    meet by an equi-join on `SEED` characters, the needle's first ones with every window of
-    the haystack, and only pairs that meet are compared.  Needles shorter than that are few
-    enough to be broadcast in blocks of a checked size, as distinct strings."""
-    t = texts.where(F.coalesce("text", F.lit("")) != "").select("text").distinct()
-    i = items.where("text is not null").select("item_id", F.col("text").alias("item_text"))
+    The items are a query set held against all texts, in blocks of at most about `block_bytes`, each broadcast."""
     head = lambda c: F.substring(c, 1, prefix)
-    a = _held(t.select(F.col("text").alias("hay")), i.select("item_id", head("item_text").alias("needle")), ["item_id"], block_bytes)
-    b = _held(i.select("item_id", F.col("item_text").alias("hay")), t.select(head("text").alias("needle")).distinct(), ["item_id"], block_bytes)
-    hit = a.unionByName(b).distinct().withColumn("found", F.lit(True))
-    return items.select("item_id").join(hit, "item_id", "left").select("item_id", F.coalesce("found", F.lit(False)).alias("found"))
-
-
-#: Characters by which a needle and the texts that may hold it meet.
-SEED = 24
-
-
-def _held(hay: DataFrame, needles: DataFrame, keep: list[str], block_bytes: int) -> DataFrame:
-    """`keep` of every pair whose hay contains the needle."""
-    windows = F.transform(F.sequence(F.lit(1), F.length("hay") - SEED + 1), lambda k: F.xxhash64(F.substring(F.col("hay"), k, F.lit(SEED))))
-    seeds = needles.where(F.length("needle") >= SEED).withColumn("seed", F.xxhash64(F.substring("needle", 1, SEED)))
-    named = hay.withColumn("h", F.xxhash64("hay"))
-    # Only hashes are exploded; the strings of pairs that meet are fetched again.
-    places = named.where(F.length("hay") >= SEED).select("h", *(c for c in keep if c in hay.columns), F.explode(F.array_distinct(windows)).alias("seed"))
-    met = places.join(seeds, "seed").select("h", "needle", *keep).distinct()
-    met = met.join(named.select("h", "hay").distinct(), "h").where(F.contains("hay", "needle")).select(*keep)
-    short = cut(needles.where(F.length("needle") < SEED))
-    blocks = max(1, -(-(short.agg(F.sum(F.octet_length("needle") + 16)).first()[0] or 0) // block_bytes))
+    i = cut(items.where("text is not null").select("item_id", F.col("text").alias("item_text")))
+    blocks = max(1, -(-(i.agg(F.sum(F.octet_length("item_text") + 16)).first()[0] or 0) // block_bytes))
+    t = texts.where(F.coalesce("text", F.lit("")) != "").select("text", head("text").alias("head"))
+    hit = None
     for b in range(blocks):
-        part = F.broadcast(short.where(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == b))
-        met = met.unionByName(hay.join(part, F.contains("hay", "needle")).select(*keep))
-    return met
+        part = F.broadcast(i.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).withColumn("item_head", head("item_text")))
+        got = t.join(part, F.contains("text", "item_head") | F.contains("item_text", "head")).select("item_id").distinct()
+        hit = got if hit is None else hit.unionByName(got)
+    hit = hit.distinct().withColumn("found", F.lit(True))
+    return items.select("item_id").join(hit, "item_id", "left").select("item_id", F.coalesce("found", F.lit(False)).alias("found"))
 
 
 def timing_means(lines: DataFrame, pattern: str, last: int) -> DataFrame:
