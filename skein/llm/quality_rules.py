@@ -2,9 +2,11 @@
 
 The ratio compares a trusted-target multinomial (labelled good documents) with the
 raw-corpus multinomial over hashed byte n-grams, divided by the number of n-grams.  Raw
-counts cover every document.  The target and the threshold are fitted on at most
-`sample` labelled rows, those with the smallest hash of doc_id, so the fit is bounded
-and repeatable; every document is then held against the same threshold.
+counts cover every document, the target every good one, and the threshold is fitted on
+every labelled one; every document is then held against the same threshold.
+
+Labels reach the texts as sorted ids and flags, sent to each task, if they are at most `few`
+and ids are whole numbers; else both tables are dealt by id.  The result is the same.
 
 Null or empty text: all counts 0, base_failed true, kept false.  Without labelled rows of
 both kinds, the ratio rejects nothing.  Repeated rows each get a row.
@@ -19,9 +21,10 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from . import counting
-from .shared import only, tune
+from .shared import Scratch, only, tune
 from .tokens import SPACED, Words, _BYTE, _power, flat, grams, mix, pieces
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -29,7 +32,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 SCALE = 1 << 12
-SAMPLE = 20_000
+#: Up to so many labels are sent to each task, at 9 bytes each.
+FEW = 1 << 23
 #: Characters of `[#*$%&|<>]`.
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -93,16 +97,34 @@ def _hashed(col: pa.Array):
         yield (v >> np.uint32(16))[same].astype(np.int64), row[:m][same]
 
 
-def _count(it):
-    raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for batch in it:
-        for part in pieces(batch, "text"):
-            flag = np.array(part.column("target").to_pylist(), bool)
-            for b, row in _hashed(part.column("text")):
-                raw += np.bincount(b, minlength=BUCKETS)
-                if flag.any():
-                    good += np.bincount(b[flag[row]], minlength=BUCKETS)
-    yield counting.emit({"raw": raw, "good": good})
+def _known(shared):
+    """Text and label of the rows that have one."""
+
+    def run(it):
+        ids, good = shared.value
+        for batch in it:
+            col = batch.column("doc_id").cast(pa.int64())
+            own = np.array(col.fill_null(0)).astype(np.int64)
+            at = np.minimum(np.searchsorted(ids, own), max(0, len(ids) - 1))
+            there = (ids[at] == own) & np.array(col.is_valid()) if len(ids) else np.zeros(len(own), bool)
+            yield pa.record_batch([batch.column("text"), pa.array(good[at] if len(ids) else there)], names=["text", "good"]).filter(pa.array(there))
+
+    return run
+
+
+def _count(key: str, label=iter):
+    """Counts of the buckets over all texts, or over those with a good label."""
+
+    def run(it):
+        seen = np.zeros(BUCKETS, np.int64)
+        for batch in label(it):
+            batch = batch.filter(batch.column("good")) if key == "good" else batch
+            for part in pieces(batch, "text"):
+                for b, _ in _hashed(part.column("text")):
+                    seen += np.bincount(b, minlength=BUCKETS)
+        yield counting.emit({key: seen})
+
+    return run
 
 
 def ratio_of(col: pa.Array, weights: np.ndarray) -> np.ndarray:
@@ -117,10 +139,10 @@ def ratio_of(col: pa.Array, weights: np.ndarray) -> np.ndarray:
     return total / np.maximum(size, 1)
 
 
-def _ratios(weights):
+def _ratios(weights, label):
     def run(it):
         w = weights.value
-        for batch in it:
+        for batch in label(it):
             for part in pieces(batch, "text"):
                 yield pa.record_batch([part.column("good"), pa.array(np.floor(ratio_of(part.column("text"), w)).astype(np.int64))], names=["good", "bin"])
 
@@ -145,29 +167,38 @@ def threshold(bins: list) -> float:
     return float("-inf") if at is None else (at + 1 + last) / 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-    """Integer weights per bucket and the threshold, in units of 1/SCALE."""
+def fit(docs: DataFrame, labels: DataFrame, few: int = FEW):
+    """Integer weights per bucket and the threshold, in units of 1/SCALE, from all texts and all labels."""
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     known = only(labels, "doc_id", "quality").where("doc_id is not null and quality is not null")
     known = known.groupBy("doc_id").agg((F.min("quality") >= 1).alias("good"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    known = spark.createDataFrame([tuple(r) for r in known.collect()], known.schema)  # at most `sample` rows
-    joined = docs.where("text is not null").join(F.broadcast(known), "doc_id", "left")
-    sums = counting.collect(joined.select("text", F.coalesce("good", F.lit(False)).alias("target")).mapInArrow(_count, counting.SCHEMA), BUCKETS)
+    docs = docs.where("text is not null")
+    whole = all(isinstance(x.schema["doc_id"].dataType, (ByteType, ShortType, IntegerType, LongType)) for x in (docs, known))
+    if whole and known.count() <= few:
+        t = known.toArrow()  # at most `few` rows
+        ids, good = np.array(t["doc_id"]).astype(np.int64), np.array(t["good"]).astype(bool)
+        order = np.argsort(ids)
+        labelled, label = docs, _known(spark.sparkContext.broadcast((ids[order], good[order])))
+    else:
+        labelled, label = scratch.cut(docs.join(known, "doc_id").select("text", "good")), iter
+    sums = counting.collect(docs.select("text").mapInArrow(_count("raw"), counting.SCHEMA), BUCKETS)
+    sums |= counting.collect(labelled.mapInArrow(_count("good", label), counting.SCHEMA), BUCKETS)
     raw, good = (sums.get(k, np.zeros(BUCKETS, np.int64)) + 0.5 for k in ("raw", "good"))
     weights = np.rint((np.log(good / good.sum()) - np.log(raw / raw.sum())) * SCALE).astype(np.int32)
     if "good" not in sums:
         weights[:] = 0
     shared = spark.sparkContext.broadcast(weights)
-    bins = joined.where("good is not null").select("good", "text").mapInArrow(_ratios(shared), "good boolean, bin long").groupBy("bin", "good").count()
-    cut = threshold([(r["bin"], r["good"], r["count"]) for r in bins.collect()])  # at most `sample` rows
+    bins = labelled.mapInArrow(_ratios(shared, label), "good boolean, bin long").groupBy("bin", "good").count()
+    cut = threshold([(r["bin"], r["good"], r["count"]) for r in bins.collect()])  # as many rows as the ratio has values
+    scratch.close()
     return shared, cut
 
 
-def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, also: tuple = ()) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, few: int = FEW, also: tuple = ()) -> DataFrame:
     """The counts, score, base_failed and kept of every row, with the columns `also` beside doc_id."""
     tune(docs.sparkSession)
-    shared, cut = fit(only(docs, "doc_id", "text"), labels, sample)
+    shared, cut = fit(only(docs, "doc_id", "text"), labels, few)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     base = only(docs, *dict.fromkeys(["doc_id", "text", *also]))
     carried = [c for c in base.columns if c != "text" or "text" in also]

@@ -77,6 +77,24 @@ def test_quality_ratio_by_hand(spark):
     assert all(got[i].kept == bool(i % 3) or got[i].base_failed for i in range(90))
 
 
+@pytest.mark.parametrize("few", [{}, {"few": 100}])
+def test_quality_learns_from_every_label(spark, few):
+    """More labels than any sample of 20,000, some of absent, null and repeated ids; sent to the tasks, or dealt by id."""
+    rnd = random.Random(9)
+    rows = [(i, "".join(rnd.choice("abcdefgh") for _ in range(8)), None, None) for i in range(24_000)]
+    rows += [(24_000, None, None, None), (None, "zzzz", None, None), (7, "second row of an id", None, None)]
+    labels = [(i, rnd.randrange(2)) for i in range(24_001)] + [(7, 1), (99_999_999, 1), (None, 1), (3, None)]
+    keys = [[((int.from_bytes(t.encode()[i : i + n]) | n << 8 * n) & 0xFFFFFFFF) * 2654435761 % 2**32 >> 16 for n in quality_rules.ORDERS for i in range(len(t) - n + 1)] for _, t, _, _ in rows if t]
+    good = {i for i, q in labels if q} - {i for i, q in labels if q == 0} - {None}
+    raw = Counter(b for k in keys for b in k)
+    target = Counter(b for k, r in zip(keys, [r for r in rows if r[1]]) if r[0] in good for b in k)
+    n_raw, n_target = (sum(c.values()) + 0.5 * quality_rules.BUCKETS for c in (raw, target))
+    weight = {b: round((math.log((target[b] + 0.5) / n_target) - math.log((raw[b] + 0.5) / n_raw)) * quality_rules.SCALE) for b in raw}
+    want = Counter(round(sum(weight[b] for b in k) / len(k) / quality_rules.SCALE, 9) for k in keys)
+    got = quality_rules.judge(table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int"), **few).where("word_chars > 0").collect()
+    assert Counter(round(r.score, 9) for r in got) == want
+
+
 def test_quality_without_rows_or_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality_rules.judge(table(spark, []), labels).count() == 0
