@@ -13,12 +13,15 @@ corpus, rarest first, so frequent passages don't bring documents together.
 
 Lists are packed in numpy arrays, dealt by hash.  In the first pass short lists make all their
 pairs; in longer ones, of which some are picked, a member meets up to three others, so the pairs
-grow with the sets, however large a group of copies is.  Pairs that are met often enough for the threshold are verified on whole sets, best
+grow with the sets, however large a group of copies is.  Pairs that are met often enough for
+the threshold are compared by marks, the parities of a set's n-grams in cells: the cells that
+differ are a lower bound of the n-grams that only one of two sets has, so no link is lost.
+What the marks allow is verified on whole sets, which are read for these pairs only, best
 ones first, and linked nodes are merged after every step, so most pairs of a group of copies
 fall away untested.  In the second pass the lists that were too long to make all their pairs
 are read again: now all pairs of a list that are still in different components are counted,
-kept if position and prefix overlap allow the threshold, and verified.  So every link between
-different components is found.  Lists that may have over `HOT` members are split: at random in
+kept if position, prefix overlap and marks allow the threshold, and verified.  So every link
+between different components is found.  Lists that may have over `HOT` members are split: at random in
 the first pass, into blocks of shard pairs in the second.
 
 The prefixes hold if two sets that link have two n-grams in common, which is so above a
@@ -134,6 +137,33 @@ def _ordered(s: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return s[np.lexsort((s, cells[_cell(s)]))]
 
 
+def marks(s: np.ndarray) -> bytes:
+    """Whether the number of n-grams in each cell is odd; the cells, 64 at least, are the largest power of two up to the size."""
+    m = max(64, 1 << (len(s).bit_length() - 1))
+    odd = np.bincount(((s >> _U(32)) & _U(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differ(a: bytes, b: bytes) -> int:
+    """At least so many n-grams are in one of two sets only; the longer marks are folded to the shorter."""
+    x, y = (np.frombuffer(v, np.uint8) for v in sorted((a, b), key=len))
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
+def _near(num: int, den: int):
+    """Pairs whose marks allow the threshold."""
+
+    def run(it):
+        for batch in it:
+            ok = []
+            for na, a, nb, b in zip(*(batch.column(c).to_pylist() for c in ("n_u", "marks_u", "n_v", "marks_v"))):
+                both = (na + nb - differ(a, b)) // 2  # at most
+                ok.append(den * both >= num * (na + nb - both))
+            yield batch.select(["u", "v", "c"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
 def _prefixes(n: int, num: int, den: int, cells):
     def run(it):
         c = cells.value
@@ -145,8 +175,8 @@ def _prefixes(n: int, num: int, den: int, cells):
                     if len(s) >= 2:
                         p = _ordered(s, c)[: len(s) - need(len(s), num, den) + 2]
                         scan = float(1 + np.maximum(0, c[_cell(p[:-1])] - mean).sum()) + len(p)
-                        keep.append((ids[i], signature(s)[0], len(s), len(p), pack(p), scan))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in keep], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.float64()))], names=["doc_id", "a", "n", "p", "prefix", "scan"])
+                        keep.append((ids[i], signature(s)[0], len(s), len(p), pack(p), scan, marks(s)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in keep], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.binary()))], names=["doc_id", "a", "n", "p", "prefix", "scan", "marks"])
 
     return run
 
@@ -377,16 +407,29 @@ def _counted(limit: int, num: int, den: int):
     return run
 
 
-def _members(n: int, wanted, cells: int):
+def _slots(ids: pa.Array, cells: int) -> np.ndarray:
+    return (mix(np.array(ids.cast(pa.int64()).fill_null(0)).astype(np.int64).view(np.uint64)) % _U(cells)).astype(np.int64)
+
+
+def _among(name: str, wanted):
+    """Rows whose value may be wanted."""
+
+    def run(it):
+        flags = wanted.value
+        for batch in it:
+            yield batch.filter(pa.array(flags[_slots(batch.column(batch.schema.get_field_index(name)), len(flags))]))
+
+    return run
+
+
+def _members(n: int, wanted):
     """Whole sets of the rows whose id may be wanted."""
 
     def run(it):
         flags = wanted.value
         for batch in it:
             for part in pieces(batch, "text"):
-                ids = part.column("doc_id").cast(pa.int64())
-                slot = (mix(np.array(ids.fill_null(0)).astype(np.int64).view(np.uint64)) % _U(cells)).astype(np.int64)
-                some = part.filter(pa.array(flags[slot]))
+                some = part.filter(pa.array(flags[_slots(part.column("doc_id"), len(flags))]))
                 if some.num_rows:
                     rows = []
                     for i, s in zip(some.column("doc_id").to_pylist(), sets(some.column("text"), n)):
@@ -413,12 +456,19 @@ def _mark_slots(cells: int):
     def run(it):
         flags = np.zeros(cells, np.int64)
         for batch in it:
-            flags[(mix(np.array(batch.column(0)).astype(np.int64).view(np.uint64)) % _U(cells)).astype(np.int64)] = 1
+            flags[_slots(batch.column(0), cells)] = 1
         yield counting.emit({"wanted": flags})
 
     return run
 
 
+def _wanted(values: DataFrame):
+    """Flags, broadcast, of the slots in which the values of a column fall."""
+    cells = 1 << min(23, max(16, int(32 * values.count()).bit_length()))
+    flags = counting.collect(values.mapInArrow(_mark_slots(cells), counting.SCHEMA), cells).get("wanted", np.zeros(cells, np.int64))
+    return values.sparkSession.sparkContext.broadcast(flags > 0)
+
+
 def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row; sets link at num/den Jaccard or more, which must be over one half."""
     if not den < 2 * num <= 2 * den:
@@ -434,10 +484,10 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, hot: int =
     nodes = scratch.cut(rows.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep")))
 
     texts = d.where("text is not null and doc_id is not null")
-    found = texts.mapInArrow(_prefixes(n, num, den, cells), "doc_id long, a long, n long, p long, prefix binary, scan double")
+    found = texts.mapInArrow(_prefixes(n, num, den, cells), "doc_id long, a long, n long, p long, prefix binary, scan double, marks binary")
     reps = nodes.select(F.col("a").alias("na"), "rep")
     found = found.join(reps, (found["a"] == reps["na"]) & (found["doc_id"] == reps["rep"])).drop("na", "rep")
-    found = scratch.cut(found.dropDuplicates(["a"]))
+    found = scratch.cut(found.dropDuplicates(["a", "doc_id"]))  # as the join deals them; a node has one id
     sizes = found.groupBy("n").agg(F.count(F.lit(1)).alias("k"), F.sum("scan").alias("scan"), F.sum("p").alias("p")).collect()  # one row for each set size
     limit = boundary_of([(r["n"], r["k"], r["scan"]) for r in sizes], num, den)
     buckets = max(12, sum(r["p"] for r in sizes) // PER_BUCKET)
@@ -450,17 +500,22 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, hot: int =
     first = candidates(found.withColumn("root", F.col("a")), False)
     pairs, again = first.where("u <> v"), first.where("u = v").select(F.col("u").alias("a"))
 
-    # Whole sets of all nodes that any pair can have, read once.
-    ids = first.select(F.explode(F.array("u", "v")).alias("a")).distinct()
-    ids = scratch.cut(ids.join(nodes.select("a", "rep").where("rep is not null"), "a"))
-    slots = 1 << min(23, max(16, int(32 * ids.count()).bit_length()))
-    flags = counting.collect(ids.select("rep").mapInArrow(_mark_slots(slots), counting.SCHEMA), slots).get("wanted", np.zeros(slots, np.int64)) > 0
-    members = texts.mapInArrow(_members(n, spark.sparkContext.broadcast(flags), slots), "doc_id long, a long, n long, m long, grams binary")
-    of = ids.select(F.col("a").alias("ia"), "rep")
-    members = members.join(of, (members["a"] == of["ia"]) & (members["doc_id"] == of["rep"])).dropDuplicates(["a"]).select("a", "n", "m", "grams")
-    members = scratch.cut(members)
-
-    def verified(pairs: DataFrame) -> DataFrame:
+    def near(pairs: DataFrame) -> DataFrame:
+        """Pairs that may link, by their marks."""
+        for x in ("u", "v"):
+            pairs = pairs.join(found.select(F.col("a").alias(x), F.col("n").alias(f"n_{x}"), F.col("marks").alias(f"marks_{x}")), x)
+        return scratch.cut(pairs.select("u", "v", "c", "n_u", "marks_u", "n_v", "marks_v").mapInArrow(_near(num, den), "u long, v long, c long"))
+
+    def whole_sets(pairs: DataFrame) -> DataFrame:
+        """Whole sets of all nodes of these pairs."""
+        ids = pairs.select(F.explode(F.array("u", "v")).alias("a")).distinct()
+        ids = scratch.cut(ids.join(nodes.select("a", "rep").where("rep is not null"), "a"))
+        members = texts.mapInArrow(_members(n, _wanted(ids.select("rep"))), "doc_id long, a long, n long, m long, grams binary")
+        of = ids.select(F.col("a").alias("ia"), "rep")
+        members = members.join(of, (members["a"] == of["ia"]) & (members["doc_id"] == of["rep"])).dropDuplicates(["a", "doc_id"]).select("a", "n", "m", "grams")
+        return scratch.cut(members)
+
+    def verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
         """Links among pairs, on whole sets."""
         for x in ("u", "v"):
             pairs = pairs.join(members.select(F.col("a").alias(x), F.col("n").alias(f"n_{x}"), F.col("m").alias(f"m_{x}"), F.col("grams").alias(f"grams_{x}")), x)
@@ -477,16 +532,19 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, hot: int =
         to = pairs.groupBy("v").agg(F.max_by("u", F.struct("c", "u")).alias("u")).select("u", "v")
         return to.union(pairs.groupBy("u").agg(F.max_by("v", F.struct("c", "v")).alias("v")).select("u", "v")).distinct()
 
+    pairs = near(pairs)
+    members = whole_sets(pairs)
     links, left = None, pairs
     for choose in (best, best, lambda p: p.select("u", "v")):
         todo = scratch.cut(choose(left))
-        held = verified(todo)
+        held = verified(todo, members)
         links = held if links is None else links.union(held)
         roots = scratch.cut(components(links))
         left = scratch.cut(apart(left.join(todo, ["u", "v"], "left_anti"), roots))
-    rooted = found.join(again, "a", "left_semi").join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-    second = candidates(rooted, True).select("u", "v")
-    links = links.union(verified(second.join(pairs, ["u", "v"], "left_anti")))
+    some = found.select("a", "n", "p", "prefix").mapInArrow(_among("a", _wanted(again)), "a long, n long, p long, prefix binary")
+    rooted = some.join(again, "a", "left_semi").join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    second = near(candidates(rooted, True).join(pairs, ["u", "v"], "left_anti"))
+    links = links.union(verified(second.select("u", "v"), whole_sets(second)))
     roots = components(links)
     final = nodes.join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
     least = final.groupBy("root").agg(F.min("rep").alias("component_id"))

@@ -90,6 +90,35 @@ def test_join_of_many_copies_near_the_threshold(spark, hot):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 4, 85)
 
 
+def test_marks_never_rule_out_a_link():
+    rnd = np.random.default_rng(3)
+    for size in (2, 20, 63, 64, 65, 700, 5000):
+        s = np.unique(rnd.integers(0, 2**64, size, np.uint64))
+        for drop, add in ((0, 0), (1, 0), (size // 10, size // 12), (size // 3, size), (0, 3 * size)):
+            t = np.unique(np.concatenate([s[drop:], rnd.integers(0, 2**64, add, np.uint64)]))
+            apart = len(np.setxor1d(s, t))
+            d = ngram_jaccard.differ(ngram_jaccard.marks(s), ngram_jaccard.marks(t))
+            assert d <= apart and (apart - d) % 2 == 0 and (apart > 1 or d == apart)
+
+
+def test_join_reads_whole_sets_for_likely_links_only(spark, monkeypatch):
+    """Documents put together from shared passages meet in the lists; only those that may link are read whole."""
+    passage = [" ".join(f"p{k}w{i}" for i in range(20)) for k in range(12)]
+    rows = [(i * 12 + j, f"{passage[i]} {passage[j]}") for i in range(12) for j in range(i)]
+    rows.append((900, rows[5][1] + " end"))
+    whole, cut = [], ngram_jaccard.Scratch.cut
+
+    def counted(self, df):
+        out = cut(self, df)
+        whole.extend([out.count()] if "grams" in out.columns else [])
+        return out
+
+    monkeypatch.setattr(ngram_jaccard.Scratch, "cut", counted)
+    got = ngram_jaccard.join(table(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 4, 85)
+    assert 2 <= sum(whole) <= 10
+
+
 def test_join_raises_below_one_half(spark):
     with pytest.raises(ValueError):
         ngram_jaccard.join(table(spark, []), num=50)
