@@ -13,7 +13,9 @@ corpus, rarest first, so frequent passages don't bring documents together.
 
 Lists are packed in numpy arrays, dealt by hash.  In the first pass short lists make all their
 pairs; in longer ones, of which some are picked, a member meets up to three others, so the pairs
-grow with the sets, however large a group of copies is.  Pairs that are met often enough for
+grow with the sets, however large a group of copies is.  One of them is the list's member whose
+rarest n-grams are the most common: the text that copies were made from has none of their edits,
+so it links to most of them, and few are left to meet their whole group in the second pass.  Pairs that are met often enough for
 the threshold are compared by marks, the parities of a set's n-grams in cells: the cells that
 differ are a lower bound of the n-grams that only one of two sets has, so no link is lost.
 What the marks allow is verified on whole sets, which are read for these pairs only, best
@@ -57,7 +59,7 @@ SKETCH = 1 << 23
 PER_BUCKET = 400_000
 #: Lists whose n-gram may stand in more sets than this are split over buckets.
 HOT = 1 << 20
-#: In the first pass lists of up to NEXT + 1 members make all their pairs; in longer ones, of which some are picked by hash, each member meets the next in size, one further on and the first.
+#: In the first pass lists of up to NEXT + 1 members make all their pairs; in longer ones, of which some are picked by hash, each member meets the next in size, one further on and the one of the highest rank.
 NEXT = 3
 #: One in so many of the long lists of 2-subsets is used in the first pass; sets with most n-grams in common share many of them.
 PICK = 8
@@ -197,7 +199,7 @@ def boundary_of(sizes: list, num: int, den: int) -> int:
     return at
 
 
-LISTS = "bucket int, n int, key binary, node binary, size binary, root binary, left binary"
+LISTS = "bucket int, n int, key binary, node binary, size binary, root binary, left binary, rank binary"
 PAIRS = "bucket int, n int, u binary, v binary, c binary, nu binary, nv binary"
 _TYPES = {"int": pa.int32(), "binary": pa.binary(), "long": pa.int64()}
 
@@ -224,13 +226,14 @@ def _split(key, own, shards, whole: bool):
 def _lists(limit: int, buckets: int, num: int, den: int, cells, whole: bool, hot: int):
     """Entries of the inverted lists, packed by bucket: single n-grams (odd keys) and 2-subsets of light sets (even keys).
 
-    `left` is how many n-grams a set has from the list's n-gram on; of a subset, from its last one on and one more."""
+    `left` is how many n-grams a set has from the list's n-gram on; of a subset, from its last one on and one more.
+    `rank` tells how common a set's rarest n-grams are."""
 
     def run(it):
         seen = cells.value
         for batch in it:
-            key, node, size, root, left, often = [], [], [], [], [], []
-            for a, n, p, blob, r in zip(*(batch.column(c).to_pylist() for c in ("a", "n", "p", "prefix", "root"))):
+            key, node, size, root, left, rank, often = [], [], [], [], [], [], []
+            for a, n, p, blob, r, scan in zip(*(batch.column(c).to_pylist() for c in ("a", "n", "p", "prefix", "root", "scan"))):
                 s = unpack(blob, p)
                 k, rest, most = [], [], []
                 count = seen[_cell(s)]
@@ -251,19 +254,20 @@ def _lists(limit: int, buckets: int, num: int, den: int, cells, whole: bool, hot
                 node.append(np.full(len(k), a, np.int64))
                 size.append(np.full(len(k), n, np.int64))
                 root.append(np.full(len(k), r, np.int64))
+                rank.append(np.full(len(k), int(16 * np.log2(1 + scan / p)), np.int64))
             if not key:
                 continue
-            key, node, size, root, left, often = map(np.concatenate, (key, node, size, root, left, often))
+            key, node, size, root, left, rank, often = map(np.concatenate, (key, node, size, root, left, rank, often))
             if (often > hot).any():
                 row, key = _split(key, node.view(np.uint64), -(-np.maximum(often, 1) // hot), whole)
-                node, size, root, left = node[row], size[row], root[row], left[row]
+                node, size, root, left, rank = node[row], size[row], root[row], left[row], rank[row]
             order = np.argsort(key, kind="stable")
-            key, node, size, root, left = key[order], *(x[order].astype(np.int64).view(np.uint64) for x in (node, size, root, left))
+            key, node, size, root, left, rank = key[order], *(x[order].astype(np.int64).view(np.uint64) for x in (node, size, root, left, rank))
             b = ((key >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
             cuts = np.flatnonzero(np.diff(b, prepend=-1, append=buckets))
             rows = []
             for x, y in zip(cuts[:-1], cuts[1:]):
-                rows.append((int(b[x]), int(y - x), pack_sorted(key[x:y]), pack(node[x:y]), pack(size[x:y]), pack(root[x:y] ^ node[x:y]), pack(left[x:y])))
+                rows.append((int(b[x]), int(y - x), pack_sorted(key[x:y]), pack(node[x:y]), pack(size[x:y]), pack(root[x:y] ^ node[x:y]), pack(left[x:y]), pack(rank[x:y])))
             yield _batch(rows, LISTS)
 
     return run
@@ -271,17 +275,18 @@ def _lists(limit: int, buckets: int, num: int, den: int, cells, whole: bool, hot
 
 def _joined(batches):
     """All entries of a bucket by list, size and node."""
-    key, node, size, root, left = [], [], [], [], []
+    key, node, size, root, left, rank = [], [], [], [], [], []
     for batch in batches:
-        for n, k, a, s, r, x in zip(*(batch.column(c).to_pylist() for c in ("n", "key", "node", "size", "root", "left"))):
+        for n, k, a, s, r, x, h in zip(*(batch.column(c).to_pylist() for c in ("n", "key", "node", "size", "root", "left", "rank"))):
             key.append(unpack_sorted(k, n))
             node.append(unpack(a, n))
             size.append(unpack(s, n).view(np.int64))
             root.append(unpack(r, n) ^ node[-1])
             left.append(unpack(x, n).view(np.int64))
-    key, node, size, root, left = map(np.concatenate, (key, node, size, root, left))
+            rank.append(unpack(h, n).view(np.int64))
+    key, node, size, root, left, rank = map(np.concatenate, (key, node, size, root, left, rank))
     order = np.lexsort((node, size, key))
-    return key[order], node[order], size[order], root[order], left[order]
+    return key[order], node[order], size[order], root[order], left[order], rank[order]
 
 
 def _pair_rows(u, v, nu, nv, buckets: int, more: int = 0) -> list:
@@ -298,7 +303,7 @@ def _pair_rows(u, v, nu, nv, buckets: int, more: int = 0) -> list:
     return [(int(b[x]), int(y - x), *(pack(z[x:y].astype(np.uint64)) for z in (u, v, c, nu, nv))) for x, y in zip(cuts[:-1], cuts[1:])]
 
 
-def _some(key, first, length):
+def _some(key, first, length, rank):
     """Index pairs of the first pass, and whether their list is a long one."""
     picked = ((key & _U(1)) == 1) | (mix(key) % _U(PICK) == 0)
     short = np.repeat(length <= NEXT + 1, length)
@@ -311,9 +316,9 @@ def _some(key, first, length):
     head = np.repeat(first, length)[at]
     same = head[1:] == head[:-1]
     yield at[:-1][same], at[1:][same], True
-    lead = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(at)), 0)) if len(at) else at
-    far = np.arange(len(at)) - lead > 1
-    yield at[lead[far]], at[far], True
+    lead = np.repeat(np.maximum.reduceat(rank << 32 | np.arange(len(key)), first) & 0xFFFFFFFF, length)[at]
+    far = np.abs(at - lead) > 1
+    yield lead[far], at[far], True
     # Lists of one group have much the same members in the same order, so each list has a distance of its own.
     i = np.arange(len(at))
     j = i + 2 + (mix(~key[at]) % _U(FAR)).astype(np.int64)
@@ -346,7 +351,7 @@ def _candidates(limit: int, buckets: int, num: int, den: int, whole: bool, most:
     """Pairs that a bucket's lists put forward; in the first pass also (u, u) for each member of a list that couldn't make all its pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, node, size, root, left = _joined(batches)
+        key, node, size, root, left, rank = _joined(batches)
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         length = np.diff(np.append(first, len(key)))
         hold, held = {False: [], True: []}, 0
@@ -371,7 +376,7 @@ def _candidates(limit: int, buckets: int, num: int, den: int, whole: bool, most:
         if not whole:
             i = np.flatnonzero(np.repeat(length > NEXT + 1, length))
             yield _batch(_pair_rows(node[i], node[i], size[i], size[i], buckets), PAIRS)
-        for i, j, partly in _all(first, length, size, root, num, den) if whole else _some(key, first, length):
+        for i, j, partly in _all(first, length, size, root, num, den) if whole else _some(key, first, length, rank):
             i, j = keep(i, j, partly)
             if len(i):
                 hold[partly].append((i, j))
@@ -493,7 +498,7 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, hot: int =
     buckets = max(12, sum(r["p"] for r in sizes) // PER_BUCKET)
 
     def candidates(sets: DataFrame, whole: bool) -> DataFrame:
-        lists = sets.select("a", "n", "p", "prefix", "root").mapInArrow(_lists(limit, buckets, num, den, cells, whole, hot), LISTS)
+        lists = sets.select("a", "n", "p", "prefix", "root", "scan").mapInArrow(_lists(limit, buckets, num, den, cells, whole, hot), LISTS)
         packed = lists.groupBy("bucket").applyInArrow(_candidates(limit, buckets, num, den, whole), PAIRS)
         return scratch.cut(packed.groupBy("bucket").applyInArrow(_counted(limit, num, den), "u long, v long, c long"))
 
@@ -541,7 +546,7 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, hot: int =
         links = held if links is None else links.union(held)
         roots = scratch.cut(components(links))
         left = scratch.cut(apart(left.join(todo, ["u", "v"], "left_anti"), roots))
-    some = found.select("a", "n", "p", "prefix").mapInArrow(_among("a", _wanted(again)), "a long, n long, p long, prefix binary")
+    some = found.select("a", "n", "p", "prefix", "scan").mapInArrow(_among("a", _wanted(again)), "a long, n long, p long, prefix binary, scan double")
     rooted = some.join(again, "a", "left_semi").join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
     second = near(candidates(rooted, True).join(pairs, ["u", "v"], "left_anti"))
     links = links.union(verified(second.select("u", "v"), whole_sets(second)))

@@ -119,6 +119,29 @@ def test_join_reads_whole_sets_for_likely_links_only(spark, monkeypatch):
     assert 2 <= sum(whole) <= 10
 
 
+def test_join_meets_the_text_that_copies_were_made_from(spark, monkeypatch):
+    """Copies of one text join through it, so next to none is left to meet the whole group in the second pass."""
+    rnd = random.Random(5)
+    base = [f"b{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 800):
+        t = list(base)
+        for _ in range(rnd.choice((1, 2, 3))):
+            t[rnd.randrange(len(t))] = f"x{rnd.randrange(10**9)}"
+        rows.append((i, " ".join(t)))
+    pairs, cut = [], ngram_jaccard.Scratch.cut
+
+    def counted(self, df):
+        out = cut(self, df)
+        pairs.extend([out.where("u <> v").count()] if out.columns == ["u", "v", "c"] else [])
+        return out
+
+    monkeypatch.setattr(ngram_jaccard.Scratch, "cut", counted)
+    got = ngram_jaccard.join(table(spark, rows), 5, 80, 100).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 5, 80)
+    assert sum(pairs[-2:]) <= len(rows) // 10
+
+
 def test_join_raises_below_one_half(spark):
     with pytest.raises(ValueError):
         ngram_jaccard.join(table(spark, []), num=50)
