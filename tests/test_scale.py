@@ -109,3 +109,11 @@ def test_activation_on_the_nearest_sentences(spark, iterations):
     got = R.activate_near(seed, lists, asked, cfg)
     assert rows(got[0], "q", "entity", "score", "tier") == rows(want[0], "q", "entity", "score", "tier")
     assert rows(got[1], "q", "entity", "weight") == rows(want[1], "q", "entity", "weight") and got[1].count() > 12
+
+
+def test_expansion_reads_a_text_once(spark):
+    from skein.functions import text as T
+
+    df = spark.createDataFrame([("Pain, mi and COPD; pain",), ("painful",), (None,)], "text string").select(T.expand_query(F.col("text")).alias("x"))
+    assert [r.x for r in df.collect()] == ["Pain, mi and COPD; pain " + " ".join(T.EXPANSIONS[t] for t in ("mi", "copd", "pain")), "painful", ""]
+    assert df._jdf.queryExecution().optimizedPlan().toString().lower().count("rlike") == 0
