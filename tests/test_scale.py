@@ -117,3 +117,21 @@ def test_expansion_reads_a_text_once(spark):
     df = spark.createDataFrame([("Pain, mi and COPD; pain",), ("painful",), (None,)], "text string").select(T.expand_query(F.col("text")).alias("x"))
     assert [r.x for r in df.collect()] == ["Pain, mi and COPD; pain " + " ".join(T.EXPANSIONS[t] for t in ("mi", "copd", "pain")), "painful", ""]
     assert df._jdf.queryExecution().optimizedPlan().toString().lower().count("rlike") == 0
+
+
+@pytest.mark.parametrize("values", [G.ROUND_VALUES, 20])
+def test_rank_on_links_equals_pagerank(spark, values):
+    rng = np.random.default_rng(6)
+    words = [f"word{chr(97 + i)}" for i in range(10)]
+    data = [(f"passage-{i}", es, [1.0 / max(1, len(es))] * len(es)) for i in range(15) for es in [sorted(rng.choice(words, int(rng.integers(0, 5)), replace=False).tolist())]]
+    links = cut(spark.createDataFrame(data, "passage_id string, entities array<string>, weights array<double>"))
+    edges = C.edges(C.link_edges(links))
+    lex = spark.createDataFrame([(w,) for w in words + ["alone"]], "entity string")
+    nodes = C.nodes(links.select("passage_id", F.lit("").alias("text")), lex)
+    e = spark.createDataFrame([(1, "worda", 2.0), (1, "alone", 1.0), (2, "wordb", 1.0), (3, "wordc", -1.0)], "q long, entity string, w double")
+    p = spark.createDataFrame([(1, "passage-3", 0.5), (1, "passage-4", 0.1), (3, "passage-5", 2.0)], "q long, passage_id string, w double")
+    reset = e.select("q", R.node_id("entity", F.col("entity")).alias("id"), "w").unionByName(p.select("q", F.col("passage_id").alias("id"), "w"))
+    for k in (None, 3):
+        want = {(r.q, r.id): r.score for r in G.pagerank(nodes, edges, reset, kind="passage", k=k).collect()}
+        got = {(r.q, r.passage_id): r.score for r in G.linked_rank(links, e, p, k=k, values=values).collect()}
+        assert got == pytest.approx(want, abs=1e-10) and len(want) > 5
